@@ -35,5 +35,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_documents(spark, sf_dir))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerloom.llm import tokens
+
+    return tokens.digest(tokens.write_tokens(_documents(spark, sf_dir), path or public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

@@ -16,6 +16,7 @@ SLICE = 1 << 20
 U = np.uint64
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=U)
+_OTHER = np.random.default_rng(19990107).integers(0, 1 << 64, 256, dtype=U)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,7 +90,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
 class Words:
     """Words of a slice: ``start``/``end`` byte ranges, ``first`` (word number at which each text begins, plus the end)."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, inside: np.ndarray = SPACED) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, inside: np.ndarray = SPACED, cut: np.ndarray | None = None) -> None:
         self.data, self.offs = data, offs
         w = inside[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -98,6 +99,10 @@ class Words:
         if len(w):
             begin[1:] &= ~w[:-1] | edge[1:-1]
             stop[:-1] &= ~w[1:] | edge[1:-1]
+        if cut is not None:  # bytes at which a word begins in any case
+            cut = np.flatnonzero(cut & w)
+            cut = cut[~edge[cut]]
+            begin[cut], stop[cut - 1] = True, w[cut - 1]
         self.inside = w
         self.start = np.flatnonzero(begin)
         self.end = np.flatnonzero(stop) + 1
@@ -116,6 +121,13 @@ class Words:
         h = (total[self.end] - total[self.start]) * down[self.start]
         return mix(h + (self.end - self.start).astype(U))
 
+    def hashes_again(self) -> np.ndarray:
+        """A second hash of each word, by other byte values."""
+        up, down = _POWERS.get(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, U)
+        np.cumsum(_OTHER[self.data] * up[: len(self.data)], out=total[1:])
+        return mix((total[self.end] - total[self.start]) * down[self.start] ^ (self.end - self.start).astype(U))
+
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space after each, and the place at which each word begins (one more at the end)."""
         size = self.end - self.start
