@@ -11,12 +11,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import shards
+
+    return shards.shard(_documents(spark, sf_dir))
+
+
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import mixture
+
+    return mixture.mix(_documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import simhash
 
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import extract
+
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import decontam
 
