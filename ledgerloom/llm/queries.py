@@ -41,6 +41,12 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import linededup
+
+    return linededup.remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import spans
 
