@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.store import materialise
+from ledgerloom.llm.store import materialise, small
 
 #: log2 of the bits in the broadcast table.
 _BITS = 24
@@ -77,7 +77,7 @@ _WINDOWS = "array<struct<start int, n int, print long, whole long>>"
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(uid, id, n_words) for each row of ``docs``, and (uid, start, n, item) for each window found; start in words."""
+    """(uid, id, hash of the text, n_words) for each row of ``docs``, and (uid, start, n, item) for each window found."""
     spark = docs.sparkSession
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +97,13 @@ def hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col:
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, windows = _rows(b.column(1), span, k, short, shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), windows], ["id", "n_words", "windows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count.astype(np.int64)), windows], ["id", "hash", "n_words", "windows"])
 
-    marks = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = marks.mapInArrow(of_docs, f"id {marks.schema['id'].dataType.simpleString()}, n_words long, windows {_WINDOWS}")
+    marks = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    marks = marks.mapInArrow(of_docs, f"id {marks.schema['id'].dataType.simpleString()}, hash long, n_words long, windows {_WINDOWS}")
     marks = materialise(marks.withColumn("uid", F.monotonically_increasing_id()), "marks")
     found = marks.where("size(windows) > 0").select("uid", F.explode("windows").alias("w")).select("uid", "w.*")
-    return marks.select("uid", "id", "n_words"), found.join(known, ["n", "print", "whole"]).select("uid", "start", "n", "item")
+    return marks.select("uid", "id", "hash", "n_words"), found.join(known, ["n", "print", "whole"]).select("uid", "start", "n", "item")
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -130,3 +130,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
         F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item; rows without an id are told by their texts."""
+    marks, found = hits(docs, items, span, k, id_col, text_col, item_col, item_text)
+    bad = marks.join(found.select("uid").distinct(), "uid", "left_semi").select(F.col("id").alias("_bad_id"), F.col("hash").alias("_bad_hash")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_hash"))
+    return docs.join(small(materialise(bad, "contaminated")), same, "left_anti")

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import materialise
+from ledgerloom.llm.store import materialise, small
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,17 +86,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken) per row: the words that the mix takes of it, repeats counted.
-
-    ``size`` is the number of words of the text, 0 for null.  Sources are taken in code point order, null last as a source
-    of its own; their weights repeat.  A row is taken 0 to ``most`` times.  Picks go by a hash of the id, then of size,
-    so reruns agree; of equal rows it doesn't matter which is picked.  An empty table gives no rows.
-    """
+def _placed(docs: DataFrame, share: float, most: int, seed: int, id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
+    """Rows (with all columns of ``docs`` if ``carry``) with the number of times that each is taken."""
     spark = docs.sparkSession
-    words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
-    rows = rows.withColumn("hash", F.expr(f"xxhash64({seed}, id, size)")).withColumn("range", F.expr(f"cast(pmod(hash, {RANGES}) as int)"))
+    rows = docs.select(*(c.alias(n) for c, n in zip(_measures(docs, id_col, text_col, source_col, seed), ("id", "source", "size", "hash", "range"), strict=True)))
     rows = materialise(rows, "sizes")
     per_length = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     # Budgets: a row for each source.  Summing weights in order needs all sources in turn, not their documents.
@@ -112,19 +105,42 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_c
 
     budgets = per_length.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     quotas = budgets.groupBy("source").applyInArrow(lambda t: next(pick([t])), "source string, size long, quota long")
-    # The rows of a length in hash order: whole hash ranges are counted, and only the range that the quota cuts is ranked.
+    # The rows of a length in hash order: ranges before the one that the quota cuts are taken whole, and only that one is ranked.
     ranges = rows.groupBy("source", "size", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("before", before)
     q = quotas.where("quota > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), "quota")
-    ranges = ranges.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).where("before < quota")
-    ranges = materialise(ranges.select("s", "z", F.col("range").alias("r"), (F.col("quota") - F.col("before")).alias("free"), "n"), "ranges")
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("range") == F.col("r"))
-    placed = rows.join(ranges, same, "left")
-    whole = placed.where("free is null or free >= n").select("id", "source", "size", F.when(F.col("free").isNotNull(), 1).otherwise(0).alias("extra"))
-    cut = placed.where("free < n")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("hash", F.col("id").asc_nulls_last()))
-    cut = cut.select("id", "source", "size", F.when(rank <= F.col("free"), 1).otherwise(0).alias("extra"))
-    out = whole.unionByName(cut).join(plan.select(F.col("source").alias("s"), "source_size", "target", "passes"), F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("passes") + F.col("extra"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), (F.col("passes") + F.col("extra")).alias("times"))
+    cuts = ranges.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).where("before < quota and before + n >= quota")
+    cuts = small(materialise(cuts.select(F.col("s").alias("_s"), F.col("z").alias("_z"), F.col("range").alias("_cut"), (F.col("quota") - F.col("before")).alias("_free"), F.col("n").alias("_n")), "cuts"))
+    plan = plan.select(F.col("source").alias("_p"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("passes").alias("_passes"))
+    full = docs.select("*", *_measures(docs, id_col, text_col, source_col, seed)) if carry else rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+    placed = full.join(cuts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left")
+    ranked = (F.col("_range") == F.col("_cut")) & (F.col("_free") < F.col("_n"))
+    others = placed.where(~F.coalesce(ranked, F.lit(False))).withColumn("_extra", F.when(F.col("_range") <= F.col("_cut"), 1).otherwise(0))
+    rank = F.row_number().over(Window.partitionBy("_source", "_size", "_range").orderBy("_hash", F.col("_id").asc_nulls_last()))
+    out = others.unionByName(placed.where(ranked).withColumn("_extra", F.when(rank <= F.col("_free"), 1).otherwise(0)))
+    return out.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_p"))).withColumn("_times", F.col("_passes") + F.col("_extra"))
+
+
+def _measures(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    digest = F.xxhash64(F.lit(seed), docs[id_col], size)
+    return [docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"), size.alias("_size"), digest.alias("_hash"), F.pmod(digest, F.lit(RANGES)).cast("int").alias("_range")]
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, taken, times) per row: the words that the mix takes of it, repeats counted.
+
+    ``size`` is the number of words of the text, 0 for null.  Sources are taken in code point order, null last as a source
+    of its own; their weights repeat.  A row is taken 0 to ``most`` times.  Picks go by a hash of the id and the size,
+    so reruns agree; of rows equal in both it doesn't matter which is picked.  An empty table gives no rows.
+    """
+    out = _placed(docs, share, most, seed, id_col, text_col, source_col, carry=False)
+    columns = {"_id": id_col, "_source": source_col, "_size": "size", "_source_size": "source_size", "_target": "target"}
+    return out.select(*(F.col(c).alias(n) for c, n in columns.items()), (F.col("_size") * F.col("_times")).alias("taken"), F.col("_times").alias("times"))
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it."""
+    out = _placed(docs, share, most, seed, id_col, text_col, source_col, carry=True)
+    return out.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,17 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(_documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of the pages' archive in which some records lost their first character to a tilde."""
+    from ledgerloom.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    hurt = F.when(F.md5(F.col("url").cast("binary")).startswith("0d"), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    ours = pages.select("page_id", warc.record(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
+    theirs = pages.select("page_id", warc.record(F.col("url"), F.col("page_id"), hurt).alias("record"))
+    return warc.fixity(ours, theirs, ["page_id"])
+
+
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import spans
 

@@ -30,6 +30,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``rows`` of them, and else joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table.hint("merge")
+
+
 def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None) -> DataFrame:
     """Add ``row_no`` (0-based position in ``order``) and, given ``value``, ``before`` (its sum over earlier rows).
 
