@@ -18,9 +18,9 @@ A symbol below the number of terminals stands for that terminal, others for rule
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ _HEAD = struct.Struct("<4sIIIQQB")
 #: Bytes of text in a segment, about; a longer text is a segment of its own.
 SEGMENT = 4 << 20
 #: Words that a worker remembers the ids of before it starts anew.
-KNOWN = 1 << 20
+KNOWN = 1 << 21
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -55,6 +55,59 @@ def _lowered(data: np.ndarray, v: W.Words) -> np.ndarray:
     return out
 
 
+def _run(word: bytes) -> bytes | None:
+    """The word as the tokenizer would lower it, if it is surely one run of letters, else None."""
+    if word.isascii():
+        return word if word.isalpha() and word.islower() else None
+    text = word.decode()
+    if not text.isalpha() or not unicodedata.is_normalized("NFC", text) or "Σ" in text:  # a final sigma is lowered by its place
+        return None
+    low = text.lower()
+    return low.encode() if low.isalpha() else None
+
+
+class _Table:
+    """Numbers of words by two 64-bit hashes: open addressing in numpy, at most half full."""
+
+    def __init__(self, bits: int = 22) -> None:
+        self.bits, self.n = bits, 0
+        self.first, self.second, self.number = np.zeros(1 << bits, W.U), np.zeros(1 << bits, W.U), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> W.U(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        slot = self._slots(h)
+        key = self.first[slot]
+        hit = (key == h) & (self.second[slot] == other)
+        out = np.where(hit, self.number[slot], -1)
+        todo = np.flatnonzero(~hit & (key != 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            key = self.first[slot]
+            hit = (key == h[todo]) & (self.second[slot] == other[todo])
+            out[todo[hit]] = self.number[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], slot[on]
+        return out
+
+    def add(self, h: np.ndarray, other: np.ndarray, number: np.ndarray) -> None:
+        """Different words that aren't in it yet."""
+        slot, todo = self._slots(h), np.arange(len(h))
+        self.n += len(h)
+        while len(todo):
+            free = self.first[slot] == 0
+            put = todo[free]
+            self.first[slot[free]] = h[put]  # of several for one slot, the last stays
+            won = free & (self.first[slot] == h[todo])
+            self.second[slot[won]], self.number[slot[won]] = other[todo[won]], number[todo[won]]
+            # two words with one first hash would both take the slot as won: the one whose second hash isn't there goes on
+            won &= self.second[slot] == other[todo]
+            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+
 class Encoder:
     """Ids of texts by a tokenizers file that, as word_bpe_49k.json does, lowers letters, drops white space, parts runs of
     letters from signs and ends each run's ids with one of a ``</w>`` string."""
@@ -63,9 +116,12 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # runs of lower-case letters need no more than the model
+        self.runs.normalizer = None
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         specials = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = max(specials.items(), key=lambda x: x[1])
         self.specials = [s.encode() for s in specials]
@@ -75,33 +131,27 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Table()
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def words(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and where in it each word's ids begin and how many they are.  Words met before are looked up."""
-        if len(self.known) > KNOWN:
-            self.forget()
-        at = np.fromiter(map(self.known.get, plain, repeat(-1)), np.int64, len(plain))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [plain[i] for i in missing.tolist()]
-            letters = np.array([w.isalpha() and w.isascii() and w.islower() for w in new])
-            for kind, encode in ((letters, self.encode_letters), (~letters, self.encode)):
-                some = [new[i] for i in np.flatnonzero(kind).tolist()]
-                if some:
-                    ids, size = encode(some)
-                    at[missing[kind]] = here = np.arange(len(self.size), len(self.size) + len(size))
-                    self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
-                    self.size, self.pool = np.append(self.size, size), np.append(self.pool, ids)
-                    self.known.update(zip(some, here.tolist(), strict=True))
-        return self.pool, self.begin[at], self.size[at]
-
-    def encode_letters(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``encode``, for words of a-z alone: spaces part them, and the last id of each is one that ends a word."""
+    def _learn(self, plain: list[bytes]) -> np.ndarray:
+        """Encode words that are new; returns their numbers."""
+        number = np.empty(len(plain), np.int64)
+        runs = [_run(w) for w in plain]
+        run = np.fromiter((r is not None for r in runs), bool, len(plain))
+        for kind, words, encode in ((run, runs, self.encode_runs), (~run, plain, self.encode)):
+            if kind.any():
+                ids, size = encode([words[i] for i in np.flatnonzero(kind).tolist()])
+                number[kind] = np.arange(len(self.size), len(self.size) + len(size))
+                self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
+                self.size, self.pool = np.append(self.size, size), np.append(self.pool, ids)
+        return number
+
+    def encode_runs(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for words that are one run: spaces part them, and the last id of each is one that ends a run."""
         step = 256
         batch = [b" ".join(plain[a : a + step]).decode() for a in range(0, len(plain), step)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(batch, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.runs.encode_batch_fast(batch, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids])
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(plain) else self.encode(plain)
 
@@ -127,51 +177,47 @@ class Encoder:
 
     def column(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by ``end``, and the number of each text's ids."""
-        h1, h2, plain_at, counts, raws = [], [], [], [], []
+        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for _, _, data, offs in W.slices(column):
+            if self.known.n > KNOWN:
+                self.forget()
             point = (data == 0x2E) | (data == 0x2C)
             point[1:] &= _LETTER[data[:-1]]  # the tokenizer parts letters from these signs
             point[:1] = False
-            v = W.Words(_lowered(data, W.Words(data, offs)), offs, cut=point)
-            h = v.hashes()
-            h1.append(h)
-            h2.append(v.hashes_again())
-            plain_at.append((v.start, v.end))
-            counts.append(v.count)
-            raws.append(v.data)
-        if not counts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        h, other, count = np.concatenate(h1), np.concatenate(h2), np.concatenate(counts)
-        order = np.argsort(h ^ (other >> W.U(1)))
-        s1, s2 = h[order], other[order]
-        new = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))[: len(h)]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
-        shown = np.sort(order[new])  # one place of each different word
-        plain: list[bytes] = []
-        base = 0
-        for (start, stop), data in zip(plain_at, raws, strict=True):
-            lo, hi = np.searchsorted(shown, (base, base + len(start)))
-            raw, pick = data.tobytes(), shown[lo:hi] - base
-            plain += [raw[s:e] for s, e in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]
-            base += len(start)
-        ids, begin, sizes = self.words(plain)
-        where = np.empty(len(shown), np.int64)
-        where[group[shown]] = np.arange(len(shown))
-        word = where[group]
-        size = sizes[word]
-        first = np.zeros(len(count) + 1, np.int64)
-        np.cumsum(count, out=first[1:])
-        per_text = W.per_doc(size, first)
-        total = int(size.sum())
-        shift = np.cumsum(size) - size
-        flat = ids[np.arange(total) + np.repeat(begin[word] - shift, size)]
-        out = np.full(total + len(count), end, np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(len(count)), per_text)] = flat
-        return out, per_text + 1
-
-
-def repair(symbols: np.ndarray, terminals: int, barrier: int, rounds: int = 24, least: int = 8, most: int = 4096, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+            v = W.Words(data, offs, cut=point)
+            v.data = _lowered(data, v)
+            h, other = v.hashes() | W.U(1), v.hashes_again()
+            word = self.known.find(h, other)
+            missing = np.flatnonzero(word < 0)
+            if len(missing):
+                shown, group = _different(h[missing], other[missing])
+                at = missing[shown]
+                raw = v.data.tobytes()
+                number = self._learn([raw[s:e] for s, e in zip(v.start[at].tolist(), v.end[at].tolist(), strict=True)])
+                self.known.add(h[at], other[at], number)
+                word[missing] = number[group]
+            size = self.size[word]
+            per_text = W.per_doc(size, v.first)
+            total = int(size.sum())
+            place = np.arange(total)
+            flat = self.pool[place + np.repeat(self.begin[word] - np.cumsum(size) + size, size)]
+            out = np.full(total + len(per_text), end, np.uint32)
+            out[place + np.repeat(np.arange(len(per_text)), per_text)] = flat
+            flats.append(out)
+            counts.append(per_text + 1)
+        return np.concatenate(flats), np.concatenate(counts)
+
+
+def _different(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different pair of hashes, and for each place the number of its pair."""
+    order = np.lexsort((other, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1]))
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
+def repair(symbols: np.ndarray, terminals: int, barrier: int, rounds: int = 24, least: int = 8, most: int = 16384, gain: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: the shortened sequence and the rules (left, right), numbered from ``terminals``; ``barrier`` stays alone."""
     s, rules, alphabet = symbols.astype(np.uint32), [np.zeros((0, 2), np.uint32)], terminals
     for _ in range(rounds):
