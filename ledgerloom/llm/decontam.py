@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.store import materialise, small
+from ledgerloom.llm.store import map_batches, materialise, small
 
 #: log2 of the bits in the broadcast table.
 _BITS = 24
@@ -84,7 +84,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _rows(b.column(1), span, k, None, None)[1]], ["item", "windows"])
 
-    known = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).mapInArrow(of_items, f"item string, windows {_WINDOWS}")
+    known = map_batches(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")), of_items, f"item string, windows {_WINDOWS}")
     known = materialise(known.select("item", F.explode("windows").alias("w")).select("item", "w.n", "w.print", "w.whole").distinct(), "items")
     short = sorted(r.n for r in known.where(f"n < {span}").select("n").distinct().collect())  # at most span - 1
     bit = F.expr(f"shiftrightunsigned(print, {64 - _BITS})")
@@ -100,7 +100,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count.astype(np.int64)), windows], ["id", "hash", "n_words", "windows"])
 
     marks = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    marks = marks.mapInArrow(of_docs, f"id {marks.schema['id'].dataType.simpleString()}, hash long, n_words long, windows {_WINDOWS}")
+    marks = map_batches(marks, of_docs, f"id {marks.schema['id'].dataType.simpleString()}, hash long, n_words long, windows {_WINDOWS}")
     marks = materialise(marks.withColumn("uid", F.monotonically_increasing_id()), "marks")
     found = marks.where("size(windows) > 0").select("uid", F.explode("windows").alias("w")).select("uid", "w.*")
     return marks.select("uid", "id", "hash", "n_words"), found.join(known, ["n", "print", "whole"]).select("uid", "start", "n", "item")

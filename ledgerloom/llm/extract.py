@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.store import map_batches
+
 #: Labelled pages to fit on, about; the longest page among them.
 SAMPLE, SAMPLE_CHARS = 512, 200_000
 
@@ -184,4 +186,4 @@ def extract(pages: DataFrame, weights: Weights | None = None, html_col: str = "h
 
     picked = pages.select(*others, html_col)
     schema = picked.drop(html_col).schema.add("text", "string").add("n_chars", "long")
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm import words as W
+from ledgerloom.llm.store import map_batches
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -108,7 +109,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
 
     picked = docs.select(id_col, text_col)
     schema = f"`{id_col}` {picked.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -119,4 +120,4 @@ def keep(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> Dat
         for b in batches:
             yield b.filter(pa.array(measure_column(b.column(at), rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
 from ledgerloom.llm.components import components
-from ledgerloom.llm.store import materialise, small
+from ledgerloom.llm.store import map_batches, materialise, small
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
@@ -237,7 +237,7 @@ def links(prints: DataFrame, budget: int = 4, cell: int = 1 << 20, confirm: floa
         if size:
             yield flush(pa.concat_tables(held).combine_chunks())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 #: Nodes of fingerprints that only rows without an id have lie above this.
@@ -252,7 +252,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint_column(b.column(1), shingle).view(np.int64))], [id_col, "print"])
 
     picked = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return picked.mapInArrow(run, f"`{id_col}` long, print long")
+    return map_batches(picked, run, f"`{id_col}` long, print long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack:
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * PROOF), len(b), [None, pa.py_buffer(np.ascontiguousarray(proof).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel())), raw], ["id", "prints", "proof"])
 
-    signed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, prints array<long>, proof binary")
+    signed = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, prints array<long>, proof binary")
     signed = materialise(signed, "signatures")
     key = F.xxhash64("prints", "proof")
     nodes = signed.groupBy("prints", "proof").agg(F.min("id").alias("node"))

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Rows in an Arrow batch, so that batches of long texts stay small beside an executor's heap.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of 2,000 rows, unless the session says otherwise than by default."""
+    if df.sparkSession.conf.get(BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(BATCH, "2000")
+    return df.mapInArrow(run, schema)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read from there."""
     spark = df.sparkSession

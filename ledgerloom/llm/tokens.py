@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.store import materialise
+from ledgerloom.llm.store import map_batches, materialise
 
 _HEAD = struct.Struct("<4sIIIQQB")
 #: Bytes of text in a segment, about; a longer text is a segment of its own.
 SEGMENT = 4 << 20
 #: Words that a worker remembers the ids of before it starts anew.
-KNOWN = 1 << 21
+KNOWN = 1 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -69,7 +69,7 @@ def _run(word: bytes) -> bytes | None:
 class _Table:
     """Numbers of words by two 64-bit hashes: open addressing in numpy, at most half full."""
 
-    def __init__(self, bits: int = 22) -> None:
+    def __init__(self, bits: int = 21) -> None:
         self.bits, self.n = bits, 0
         self.first, self.second, self.number = np.zeros(1 << bits, W.U), np.zeros(1 << bits, W.U), np.zeros(1 << bits, np.int32)
 
@@ -375,7 +375,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(2)[0].as_py()], pa.int32()), pa.array([number], pa.int64()), pa.array([hi - lo], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([raw], pa.binary())], ["part", "number", "n_docs", "n_ids", "segment"])
                 number += 1
 
-    return materialise(rows.mapInArrow(run, "part int, number long, n_docs long, n_ids long, segment binary"), "tokens")
+    return materialise(map_batches(rows, run, "part int, number long, n_docs long, n_ids long, segment binary"), "tokens")
 
 
 def digest(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -391,7 +391,7 @@ def digest(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 ids = pa.array(s.doc_ids, mask=s.is_null)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number)), ids, pa.array(s.first_id), pa.array(stops - s.first_id), pa.array(crcs, pa.int64())], ["part", "number", "id", "first", "n_tokens", "ids_crc32"])
 
-    found = files.select("part", "number", "segment").mapInArrow(run, "part int, number long, id long, first long, n_tokens long, ids_crc32 long")
+    found = map_batches(files.select("part", "number", "segment"), run, "part int, number long, id long, first long, n_tokens long, ids_crc32 long")
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("sum")).selectExpr("part", "sum(sum) over (order by part) - sum as before")
     starts = files.select("part", "number", "n_ids").withColumn("inside", inside).join(totals, "part").select("part", "number", (F.col("before") + F.col("inside")).alias("before"))

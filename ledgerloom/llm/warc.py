@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import materialise, numbered
+from ledgerloom.llm.store import map_batches, materialise, numbered
 
 #: Children of a node, at most.
 FAN = 16
@@ -118,4 +118,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, offset long, length long, uri string, header string, payload binary")
+    return map_batches(files, run, "path string, offset long, length long, uri string, header string, payload binary")

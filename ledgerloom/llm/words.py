@@ -75,9 +75,8 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
     n = len(column)
     if not n:
         return
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     _, offs, data = column.buffers()
-    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
+    offs = np.frombuffer(offs, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
