@@ -36,7 +36,12 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
 
     ``pos`` numbers the lines of the corpus, ``left`` counts those of the document from this one on.
     """
-    every = lines.withColumn("base", F.lit(0).cast("long"))
+    # Lines that occur twice, and those that end a run of such lines: no other line's rank is ever asked for.
+    twice = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(lines.join(twice.drop("n"), "id", "left_semi"), "again")
+    ends = again.where("left > 1").select((F.col("pos") + 1).alias("pos"))
+    ends = lines.join(ends, "pos", "left_semi").join(again.select("pos"), "pos", "left_anti")
+    every = again.unionByName(ends).withColumn("base", F.lit(0).cast("long"))
     level = materialise(_ranked(every, ["base", "id"]), "ranks")
     levels, ranked, settled, k = [], [], [level.where("size = 1").select("pos", "rank")], 0
     while True:
@@ -96,13 +101,13 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
     """
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    lines = rows.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(_WORD))
-    lines = lines.groupBy("id", "tie", "line").agg(F.first(F.xxhash64("words", F.length("words"))).alias("hash"))
+    parts = F.expr(f"filter(transform(split(text, '\n'), (x, k) -> struct(k as line, x as words)), x -> x.words rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
+    lines = rows.select("id", "tie", parts.alias("parts")).withColumn("n_lines", F.size("parts").cast("long")).select("id", "tie", "n_lines", F.posexplode("parts").alias("k", "part"))
+    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.xxhash64("part.words", F.length("part.words")).alias("hash"))
+    if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
+        lines = lines.dropDuplicates(["id", "tie", "line"])
     placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="lines")
-    per_doc = placed.groupBy(F.col("id").alias("i"), F.col("tie").alias("t")).agg(F.max("row_no").alias("last"), F.count("*").alias("n_lines"))
-    placed = placed.join(per_doc, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
-    placed = placed.select("id", "tie", "line", F.col("row_no").alias("pos"), (F.col("last") - F.col("row_no") + 1).alias("left"), "hash", "n_lines")
-    placed = materialise(placed, "placed")
+    placed = materialise(placed.withColumnRenamed("row_no", "pos").drop("before"), "placed")
     runs = materialise(repeated_runs(placed.select("pos", "left", F.col("hash").alias("id")), least), "runs")
     gone = runs.where("cut").select(F.explode(F.sequence("pos", F.col("pos") + least - 1)).alias("pos")).distinct().withColumn("gone", F.lit(True))
     marks = placed.join(runs.select("pos", "run"), "pos", "left").join(gone, "pos", "left")
