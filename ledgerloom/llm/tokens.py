@@ -34,7 +34,7 @@ _HEAD = struct.Struct("<4sIIIQQB")
 #: Bytes of text in a segment, about; a longer text is a segment of its own.
 SEGMENT = 4 << 20
 #: Words that a worker remembers the ids of before it starts anew.
-KNOWN = 1 << 20
+KNOWN = 3 << 19
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -67,7 +67,7 @@ def _run(word: bytes) -> bytes | None:
 
 
 class _Table:
-    """Numbers of words by two 64-bit hashes: open addressing in numpy, at most half full."""
+    """Numbers of words by a 64-bit hash and their first letters and length: open addressing in numpy, at most three quarters full."""
 
     def __init__(self, bits: int = 21) -> None:
         self.bits, self.n = bits, 0
@@ -121,6 +121,10 @@ class Encoder:
         self.model, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # runs of lower-case letters need no more than the model
         self.runs.normalizer = None
+        bare = self.runs.model
+        if hasattr(bare, "_resize_cache"):  # words come once, so the model's own cache only costs
+            bare._resize_cache(0)
+            self.runs.model = bare
         self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         specials = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = max(specials.items(), key=lambda x: x[1])
@@ -186,7 +190,7 @@ class Encoder:
             point[:1] = False
             v = W.Words(data, offs, cut=point)
             v.data = _lowered(data, v)
-            h, other = v.hashes() | W.U(1), v.hashes_again()
+            h, other = v.hashes() | W.U(1), v.starts_with()
             word = self.known.find(h, other)
             missing = np.flatnonzero(word < 0)
             if len(missing):
@@ -251,7 +255,8 @@ def repair(symbols: np.ndarray, terminals: int, barrier: int, rounds: int = 24,
         place, order = place[take], order[take]
         if len(place) < gain * len(s):
             break
-        used, number = np.unique(order, return_inverse=True)
+        taken = np.bincount(order, minlength=len(pairs)) > 0
+        used, number = np.flatnonzero(taken), (np.cumsum(taken) - 1)[order]
         left, right = (pairs[used] >> W.U(32), pairs[used] & W.U(0xFFFFFFFF)) if wide else (pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF))
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
         s[place] = alphabet + number

@@ -16,7 +16,6 @@ SLICE = 1 << 20
 U = np.uint64
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=U)
-_OTHER = np.random.default_rng(19990107).integers(0, 1 << 64, 256, dtype=U)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -120,12 +119,13 @@ class Words:
         h = (total[self.end] - total[self.start]) * down[self.start]
         return mix(h + (self.end - self.start).astype(U))
 
-    def hashes_again(self) -> np.ndarray:
-        """A second hash of each word, by other byte values."""
-        up, down = _POWERS.get(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_OTHER[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] ^ (self.end - self.start).astype(U))
+    def starts_with(self) -> np.ndarray:
+        """The first 8 bytes and the length of each word in one number, as a check beside its hash."""
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        views = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        size = (self.end - self.start).astype(U)
+        short = np.minimum(size, U(8))
+        return (views[self.start] & (~U(0) >> ((U(8) - short) * U(8)))) ^ (size * U(0x9E3779B97F4A7C15))
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space after each, and the place at which each word begins (one more at the end)."""
