@@ -13,7 +13,7 @@ other.  Every round's table lies in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import materialise, numbered
@@ -23,10 +23,11 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` (pos, left, base, and ``by``) with ``rank``: base plus the number of rows of the same base before those equal in ``by``."""
-    placed = numbered(rows, [*by, "pos"], tag="suffixes")
-    first = placed.groupBy("base").agg(F.min("row_no").alias("first"))
+    rows = materialise(rows, "unranked")
+    placed = numbered(rows, [*by, "pos"], tag="suffixes", rows=rows.count())
     equal = placed.groupBy(*by).agg(F.min("row_no").alias("start"), F.count("*").alias("size"))
-    out = placed.join(first, "base").join(equal, by)
+    equal = equal.withColumn("first", F.min("start").over(Window.partitionBy("base")))
+    out = placed.join(equal, by)
     return out.select("pos", "left", (F.col("base") + F.col("start") - F.col("first")).alias("rank"), "size", (F.col("base") + F.col("row_no") - F.col("first")).alias("place"))
 
 
@@ -80,12 +81,13 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
         pairs = pairs.withColumn("a", F.col("pos") + F.col("same")).withColumn("b", F.col("other") + F.col("same")).join(a, "a", "left").join(b, "b", "left")
         longer = (F.col("ra") == F.col("rb")) & (F.col("same") + (1 << j) <= F.col("most"))
         pairs = pairs.select("pos", "other", "place", "most", F.when(longer, F.col("same") + (1 << j)).otherwise(F.col("same")).alias("same"))
-        pairs = materialise(pairs, "common") if j % 2 == 0 else pairs
+        pairs = materialise(pairs, "common") if j % 4 == 0 else pairs
     # Intervals of at least ``least`` common lines: a new one starts where the prefix with the suffix before is shorter.
     with_before = order.join(pairs.select("place", "same"), "place", "left").withColumn("same", F.coalesce("same", F.lit(0)))
     with_after = with_before.join(pairs.select((F.col("place") - 1).alias("place"), F.col("same").alias("after")), "place", "left")
     rows = with_after.select("pos", "place", F.greatest("same", F.coalesce("after", F.lit(0))).alias("run"), F.when(F.col("same") < least, 1).otherwise(0).alias("starts"))
-    rows = numbered(rows, ["place"], F.col("starts"), "intervals").withColumn("interval", F.col("before") + F.col("starts"))
+    rows = materialise(rows, "starts")
+    rows = numbered(rows, ["place"], F.col("starts"), "intervals", rows=rows.count()).withColumn("interval", F.col("before") + F.col("starts"))
     first = rows.groupBy("interval").agg(F.min("pos").alias("first"))
     return rows.join(first, "interval").select("pos", "run", ((F.col("pos") > F.col("first")) & (F.col("run") >= least)).alias("cut"))
 
@@ -102,11 +104,12 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = F.expr(f"filter(transform(split(text, '\n'), (x, k) -> struct(k as line, x as words)), x -> x.words rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
-    lines = rows.select("id", "tie", parts.alias("parts")).withColumn("n_lines", F.size("parts").cast("long")).select("id", "tie", "n_lines", F.posexplode("parts").alias("k", "part"))
+    lines = rows.select("id", "tie", parts.alias("parts")).withColumn("n_lines", F.size("parts").cast("long")).select("id", "tie", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("part is not null")
     lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.xxhash64("part.words", F.length("part.words")).alias("hash"))
     if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
         lines = lines.dropDuplicates(["id", "tie", "line"])
-    placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="lines")
+    lines = materialise(lines, "lines")
+    placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="numbered", rows=lines.count())
     placed = materialise(placed.withColumnRenamed("row_no", "pos").drop("before"), "placed")
     runs = materialise(repeated_runs(placed.select("pos", "left", F.col("hash").alias("id")), least), "runs")
     gone = runs.where("cut").select(F.explode(F.sequence("pos", F.col("pos") + least - 1)).alias("pos")).distinct().withColumn("gone", F.lit(True))

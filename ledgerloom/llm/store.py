@@ -46,13 +46,19 @@ def small(table: DataFrame, rows: int = 1 << 19) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table.hint("merge")
 
 
-def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None) -> DataFrame:
+#: Rows of a range, at least, where the number of rows is known.
+RANGE = 1 << 18
+
+
+def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Add ``row_no`` (0-based position in ``order``) and, given ``value``, ``before`` (its sum over earlier rows).
 
     Rows are dealt into contiguous ranges and written once, so that a range keeps its number; the totals
     of the ranges (one row each) are summed, and each range adds its own running sums.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:  # fewer ranges for small tables
+        n = max(1, min(n, -(-rows // RANGE)))
     value = F.lit(0) if value is None else value
     ranged = materialise(
         df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()),
