@@ -41,7 +41,7 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that the words taken come as near ``budget`` as the program finds, from below."""
+    """How many of each length to take so that the words taken come as near ``budget`` as the program finds."""
     order = np.argsort(lengths, kind="stable")
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     some = size > 0
@@ -62,21 +62,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             take[k] += more
             left -= more * int(size[k])
     reach = min(left, PROGRAM)
+    limit = reach + min(int(size.max()), PROGRAM)  # a sum above may be nearer than any below
     # reached[j]: the item that first made the sum j; items are 1, 2, 4, ... of a length (bounded knapsack by halves)
-    reached = np.full(reach + 1, -1, np.int64)
+    reached = np.full(limit + 1, -1, np.int64)
     reached[0] = -2
     items: list[tuple[int, int]] = []
     for k in np.flatnonzero(some):
-        free, step = min(int(have[k] - take[k]), reach // int(size[k])), 1
+        free, step = min(int(have[k] - take[k]), limit // int(size[k])), 1
         while free > 0 and reached[reach] == -1:
             n = min(step, free)
             free, step, weight = free - n, 2 * step, n * int(size[k])
-            new = np.flatnonzero((reached[: reach + 1 - weight] != -1) & (reached[weight:] == -1)) + weight
+            if weight > limit:
+                continue
+            new = np.flatnonzero((reached[: limit + 1 - weight] != -1) & (reached[weight:] == -1)) + weight
             reached[new] = len(items)
             items.append((k, n))
         if reached[reach] != -1:
             break
-    at = int(np.flatnonzero(reached != -1)[-1])
+    sums = np.flatnonzero(reached != -1)
+    at = int(sums[np.argmin(np.abs(sums - reach))])
     while at:
         k, n = items[reached[at]]
         take[k] += n
