@@ -6,7 +6,9 @@ distinct pairs of strings (``on_distinct``), since candidate pairs repeat the sa
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,9 +116,17 @@ def damerau_similarity(a: str, b: str) -> float:
     return 1.0 - damerau(a, b) / n if n else 1.0
 
 
+def trigram(a: str, b: str) -> float:
+    """Cosine of the counts of character trigrams of the strings with a space on each side."""
+    x, y = (Counter(f" {s} "[k : k + 3] for k in range(max(len(s), 1))) for s in (a, b))
+    dot = sum(n * y[g] for g, n in x.items())
+    return dot / sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+
 KERNELS: dict[str, Callable[[str, str], float]] = {
     "ratio": indel_ratio, "token_set": token_set, "token_sort": token_sort, "partial": partial,
     "jaro": jaro, "jaro_winkler": jaro_winkler, "damerau": damerau_similarity,
+    "trigram": trigram,
 }
 
 
@@ -200,22 +210,6 @@ def set_conflict(a: Column, b: Column) -> Column:
     return F.when(set_state(a, b) == 2, (~F.arrays_overlap(a, b)).cast("int"))
 
 
-def trigram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the counts of character trigrams of the strings with a space on each side."""
-
-    def grams(c: Column) -> Column:
-        s = F.concat(F.lit(" "), c, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda k: F.substring(s, k, F.lit(3)))
-
-    def count(gs: Column, g: Column) -> Column:
-        return F.size(F.filter(gs, lambda x: x == g)).cast("double")
-
-    x, y = grams(a), grams(b)
-    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, g: s + count(x, g) * count(y, g))
-    norm = lambda gs: F.sqrt(F.aggregate(F.array_distinct(gs), F.lit(0.0), lambda s, g: s + count(gs, g) * count(gs, g)))
-    return F.when(present(a, b), F.try_divide(dot, norm(x) * norm(y)))
-
-
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

@@ -98,7 +98,7 @@ def pair_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Data
     left = ql.select(*[F.col(c).alias(f"l_{c}") for c in keep]).withColumnRenamed("l_entity_id", "q")
     right = pr.select(*[F.col(c).alias(f"r_{c}") for c in keep]).withColumnRenamed("r_entity_id", "p")
     out = pairs.join(left, "q").join(right, "p")
-    for column, kernels in (("name_core", ["ratio", "damerau", "jaro", "jaro_winkler", "token_set", "token_sort", "partial"]), ("name_norm", ["ratio"]), ("addr_norm", ["ratio", "token_set", "partial"]), ("street", ["ratio"]), ("joined", ["ratio", "partial"]), ("skeletons", ["token_set"])):
+    for column, kernels in (("name_core", ["ratio", "damerau", "jaro", "jaro_winkler", "token_set", "token_sort", "partial", "trigram"]), ("name_norm", ["ratio"]), ("addr_norm", ["ratio", "token_set", "partial", "trigram"]), ("street", ["ratio"]), ("joined", ["ratio", "partial"]), ("skeletons", ["token_set"])):
         out = S.on_distinct(out, f"l_{column}", f"r_{column}", kernels)
     l, r = lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")
     pair = lambda f, c: f(l(c), r(c))
@@ -108,14 +108,14 @@ def pair_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Data
         "name_ratio": F.col("l_name_core_ratio"), "name_norm_ratio": F.col("l_name_norm_ratio"), "name_lev": pair(S.levenshtein_similarity, "name_core"),
         "name_dl": F.col("l_name_core_damerau"), "name_jaro": F.col("l_name_core_jaro"), "name_jw": F.col("l_name_core_jaro_winkler"),
         "name_tset": F.col("l_name_core_token_set"), "name_tsort": F.col("l_name_core_token_sort"), "name_partial": F.col("l_name_core_partial"),
-        "name_prefix": pair(S.prefix_ratio, "name_core"), "name_len_ratio": pair(S.length_ratio, "name_core"), "name_char3_cos": pair(S.trigram_cosine, "name_core"),
+        "name_prefix": pair(S.prefix_ratio, "name_core"), "name_len_ratio": pair(S.length_ratio, "name_core"), "name_char3_cos": F.col("l_name_core_trigram"),
         "name_empty_l": (l("name_core") == "").cast("int"), "name_empty_r": (r("name_core") == "").cast("int"), "is_s3": F.col("p").cast("string").startswith("S3").cast("int"),
         "name_tok_jacc": pair(S.jaccard, "name_tokens"), "name_tok_contain": pair(S.containment, "name_tokens"), "addr_tok_jacc": pair(S.jaccard, "addr_tokens"),
         "name_freq_l": l("freq"), "name_freq_r": r("freq"), "name_ntok_l": F.size(l("name_tokens")), "name_ntok_r": F.size(r("name_tokens")),
         "name_num_state": pair(S.set_state, "name_nums"), "name_num_eq": pair(S.set_equal, "name_nums"), "name_num_conflict": pair(S.set_conflict, "name_nums"), "name_num_jacc": pair(S.jaccard, "name_nums"),
         "addr_num_jacc": pair(S.jaccard, "addr_nums"), "addr_num_conflict": pair(S.set_conflict, "addr_nums"),
         "house_eq": pair(S.equal, "house_no"), "house_conflict": pair(S.conflict, "house_no"), "house_absdiff": F.log1p(F.abs(l("house_int") - r("house_int"))),
-        "addr_ratio": F.col("l_addr_norm_ratio"), "addr_tset": F.col("l_addr_norm_token_set"), "addr_partial": F.col("l_addr_norm_partial"), "addr_char3_cos": pair(S.trigram_cosine, "addr_norm"), "street_ratio": F.col("l_street_ratio"),
+        "addr_ratio": F.col("l_addr_norm_ratio"), "addr_tset": F.col("l_addr_norm_token_set"), "addr_partial": F.col("l_addr_norm_partial"), "addr_char3_cos": F.col("l_addr_norm_trigram"), "street_ratio": F.col("l_street_ratio"),
         "region_eq": pair(S.equal, "region"), "region_conflict": pair(S.conflict, "region"), "postcode_eq": pair(S.equal, "postcode"), "postcode_conflict": pair(S.conflict, "postcode"),
         "legal_state": pair(S.state, "legal_form"), "legal_eq": pair(S.equal, "legal_form"), "legal_conflict": pair(S.conflict, "legal_form"), "addr_state": pair(S.state, "addr_norm"),
         "phone_eq": pair(S.equal, "phone"), "phone_conflict": pair(S.conflict, "phone"), "domain_eq": pair(S.equal, "domain"), "domain_conflict": pair(S.conflict, "domain"),

@@ -90,4 +90,5 @@ def record_keys(records: DataFrame, name: str = "name_core", address: str = "add
 
 def exploded(keyed: DataFrame, id_col: str = "entity_id") -> DataFrame:
     """(id, country, family, key), one row for each key of a record."""
-    return keyed.select(F.col(id_col).alias("id"), "country", F.explode("keys").alias("k")).select("id", "country", "k.family", "k.key")
+    # explode_outer: else the optimiser adds a filter on the keys' number, which computes them once more
+    return keyed.select(F.col(id_col).alias("id"), "country", F.explode_outer("keys").alias("k")).select("id", "country", "k.family", "k.key").where("key is not null")

@@ -31,7 +31,14 @@ def with_flags(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame, features: list[str], kind: str = "gbt", **settings) -> PipelineModel:
-    return matcher(features, kind, **settings).fit(with_flags(rows, features))
+    """Fit on ``rows``, kept in memory or on disk meanwhile, since training reads them many times."""
+    from pyspark import StorageLevel
+
+    held = with_flags(rows, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return matcher(features, kind, **settings).fit(held)
+    finally:
+        held.unpersist()
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:

@@ -37,6 +37,7 @@ def scored(queries: DataFrame, pool: DataFrame, truth: DataFrame, settings: Sett
     pairs = candidates(queries, pool, settings)
     pairs = features.pair_features(pairs, queries, pool)
     pairs = pairs.join(truth.select("q", "p", F.lit(1).alias("label")), ["q", "p"], "left").fillna(0, ["label"])
+    pairs = pairs.persist()  # read by each step of training and by prediction; the caller's session drops it
     used = [c for c in features.feature_set(*settings.families) if c in pairs.columns]
     model = learn.fit(pairs, used, settings.kind)
     return learn.calibrate(learn.predict(model, pairs, used), settings.calibration)

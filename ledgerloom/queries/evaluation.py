@@ -241,3 +241,11 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bootstrap_ci(_table(spark, sf_dir))
+
+
+@query()
+def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isotonic probabilities of the pairs' scores."""
+    from ledgerloom.operators import learn
+
+    return learn.calibrate(pairs(spark, sf_dir).withColumn("label", F.col("label").cast("double")).withColumnRenamed("score", "prob"), "isotonic")

@@ -140,7 +140,7 @@ def noise_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), *rates)
 
 
-@query(f"with {RECORDS_SQL} select country, token, count(*) as n from (select country, unnest(name) as token from records union all select country, unnest(addr) from records) group by all qualify row_number() over (partition by country order by n desc, token) <= 20")
+@query(f"with {RECORDS_SQL} select country, token, n from (select country, token, count(*) as n from (select country, unnest(name) as token from records union all select country, unnest(addr) from records) group by all) qualify row_number() over (partition by country order by n desc, token) <= 20")
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -209,16 +209,3 @@ def suffix_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.lexical(F.col("text")).alias("lexical"), T.safe_text(F.col("text")).alias("safe"), T.script_of(F.col("text")).alias("script"))
-
-
-@query()
-def matcher_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matcher trained on candidate pairs of the raw records of parts, calibrated, and how its probabilities fare."""
-    from ledgerloom.operators import metrics as M
-    from ledgerloom.plans.linkage import Settings, scored
-
-    rows = T.clean_records(raw_records(spark, sf_dir).withColumn("key", F.split_part("business_name", F.lit(" "), F.lit(1))))
-    q, p = rows.where("cast(entity_id as int) % 2 = 0"), rows.where("cast(entity_id as int) % 2 = 1")
-    links = q.alias("a").join(p.alias("b"), ["name_core", "country"]).select(F.col("a.entity_id").alias("q"), F.col("b.entity_id").alias("p"))
-    s = scored(q, p, links.distinct(), Settings(kind="lr", families=("name",)))
-    return M.mann_whitney_auc(s, "calibrated", "label")
