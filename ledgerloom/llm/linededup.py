@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import materialise, numbered
+from ledgerloom.llm.store import materialise, numbered, small
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -104,10 +104,20 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = F.expr(f"filter(transform(split(text, '\n'), (x, k) -> struct(k as line, x as words)), x -> x.words rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
-    lines = rows.select("id", "tie", parts.alias("parts")).withColumn("n_lines", F.size("parts").cast("long")).select("id", "tie", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("part is not null")
-    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.xxhash64("part.words", F.length("part.words")).alias("hash"))
-    if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
-        lines = lines.dropDuplicates(["id", "tie", "line"])
+    hashed = F.transform(parts, lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["words"], F.length(p["words"])).alias("hash")))
+    base = materialise(rows.select("id", "tie", hashed.alias("parts")), "hashed")
+    base = base.dropDuplicates(["id", "tie"]).withColumn("n_lines", F.size("parts").cast("long")).where("n_lines > 0")
+    # Documents of the same lines: the first stands for all in the array, and the others lose what they have.
+    same = F.transform("parts", lambda p: p["hash"])
+    whole = materialise(base.select("id", "tie", "n_lines", F.xxhash64(same).alias("s1"), F.xxhash64(F.reverse(same), "n_lines").alias("s2")), "whole")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
+    groups = whole.groupBy("s1", "s2").agg(F.min(place).alias("own"), F.count("*").alias("copies")).where("copies > 1")
+    copies = whole.join(groups, ["s1", "s2"]).select(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"), F.when(place == F.col("own"), 0).otherwise(1).alias("later"))
+    copies = materialise(copies, "copies")
+    marked = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tie") == F.col("c_tie"))
+    lines = base.join(small(copies.where("later = 1")), marked, "left_anti")
+    lines = lines.select("id", "tie", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("part is not null")
+    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.col("part.hash").alias("hash"))
     lines = materialise(lines, "lines")
     placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="numbered", rows=lines.count())
     placed = materialise(placed.withColumnRenamed("row_no", "pos").drop("before"), "placed")
@@ -120,6 +130,19 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
         F.coalesce(F.max("run"), F.lit(0)).alias("longest_run"),
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("cut"),
     )
+    # copies: their lines all occur earlier, as one run
+    alike = copies.join(base.select("id", "tie", "n_lines", "parts"), marked)
+    gone_too = F.col("later") * (F.col("n_lines") >= least).cast("int")
+    alike = alike.select("c_id", "c_tie", "later", F.col("n_lines").alias("all"), F.when(gone_too == 1, F.transform("parts", lambda p: p["line"])).otherwise(F.array().cast("array<int>")).alias("out"))
+    pair = F.col("i").eqNullSafe(F.col("c_id")) & (F.col("t") == F.col("c_tie"))
+    marks = marks.join(alike, pair, "full").select(
+        F.when(F.col("t").isNull(), F.col("c_id")).otherwise(F.col("i")).alias("i"),
+        F.coalesce("t", "c_tie").alias("t"),
+        F.coalesce("n_lines", "all").alias("n_lines"),
+        F.when(F.col("later") == 1, F.size("out")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.greatest("longest_run", F.coalesce("all", F.lit(0))).alias("longest_run"),
+        F.when(F.col("later") == 1, F.col("out")).otherwise(F.col("cut")).alias("cut"),
+    )
     marks = materialise(marks, "marks")
     out = rows.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left")
     kept = F.expr("concat_ws('\n', filter(split(text, '\n'), (x, k) -> not array_contains(cut, k)))")
