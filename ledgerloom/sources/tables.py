@@ -28,7 +28,7 @@ def read_records(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 def read_truth(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Truth pairs (q, p) and entities (q, g), of which a singleton has g = 0."""
     rows = read_tsv(spark, path, TRUTH, strict).fillna("")
-    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(F.col("source1_entity_id").alias("q"), ids.alias("ids"))
     return rows.select("q", F.explode("ids").alias("p")), rows.select("q", F.size("ids").alias("g"))
 
