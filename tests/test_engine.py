@@ -245,7 +245,7 @@ def test_end_to_end(spark):
     assert {("S1-fit", "S2-fit"), ("S1-early", "S2-early"), ("S1-tune", "S2-tune"), ("S1-hold", "S2-hold"), ("S1-hold", "S3-hold")} <= pairs and ("S1-tune", "S2-fit") not in pairs
     feats = {(r.q, r.p): r for r in features.pair_features(found, q, pool).collect()}
     assert feats["S1-hold", "S2-hold"].name_ratio == 1 and feats["S1-fit", "S2-fit"].house_eq == 1 and feats["S1-early", "S2-early"].addr_ratio == 1
-    links = found.select("q", "p", "score").where("score > 0.3")
+    links = found.select("q", "p", F.col("score_all").alias("score")).where("score > 0.3")
     lists = {r.q: r.ids for r in decide.match_lists(q.select(F.col("entity_id").alias("q")), decide.unique_assignment(links)).collect()}
     assert "S2-fit" in lists["S1-fit"] and "S2-hold" in lists["S1-hold"] and lists["S1-tune"] == "S2-tune" and len(lists) == 5
 
