@@ -238,6 +238,14 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.negatives(p, hard=3).select("q", "p", "kind", F.round("weight", 9).alias("weight"))
 
 
+@query()
+def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.plans import tuning
+
+    p = pairs(spark, sf_dir).withColumn("conflict_count", F.col("p") % 3).persist()
+    return tuning.policy_search(p, entities(spark, sf_dir), [0.0, 0.2], [0.0, 0.05])
+
+
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bootstrap_ci(_table(spark, sf_dir))

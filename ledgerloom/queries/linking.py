@@ -9,6 +9,7 @@ from ledgerloom.functions import similarity as S
 from ledgerloom.functions.text import replace
 from ledgerloom.operators import features, retrieval
 from ledgerloom.operators import metrics as M
+from ledgerloom.plans import tuning
 from ledgerloom.queries.base import KEYS_SQL, PAIRS_SQL, RECORDS_SQL, keys, pairs, query, records, table, truth
 
 CAP = 25
@@ -180,6 +181,24 @@ def miss_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missed.select("q", "p", retrieval.miss_reason("a0", "a1", "n0", "n1", "c0", "c1", "shared").alias("reason"))
 
 
+SEARCH_SQL = ", ".join(f"('all@{a},name@{n}>=0.05', {a}, {n})" for a in (2, 8, 20) for n in (1, 4, 10))
+
+
+@query(
+    f"""with {WIDE_SQL}, configs as (select * from (values {SEARCH_SQL}) v(config, a, n)),
+cut as (select config, q, p from wide cross join configs where (rank_all <= a and score_all >= 0.05) or (rank_name <= n and score_name >= 0.05)),
+per as (select config, t.q, count(c.q) as found, count(*) as g from truth t cross join configs left join cut c using (config, q, p) group by all),
+x as (select config, sum(found) as found, sum(case when found > 0 then 1.25 * (found / g) / (0.25 + found / g) else 0 end) as gain, count(*) as matched from per group by config),
+y as (select config, count(*) as candidates from cut group by config), t as (select count(*) as total from records where src = 1),
+r as (select config, coalesce(candidates, 0)::bigint as candidates, found::bigint as found, round((gain + total - matched) / total, 6) as ceiling_f05 from x left join y using (config), t)
+select * from r qualify coalesce(ceiling_f05 > max(ceiling_f05) over (order by candidates, ceiling_f05 desc, config rows between unbounded preceding and 1 preceding), true)"""
+)
+def blocking_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, wide = records(spark, sf_dir), _wide(spark, sf_dir).persist()
+    grid = [({"all": a, "name": n}, 0.05) for a in (2, 8, 20) for n in (1, 4, 10)]
+    return tuning.pareto(tuning.blocking_search(wide, truth(rows), rows.where("src = 1").select(F.col("id").alias("q")), grid))
+
+
 # The word-bag variant over documents
 
 BAGS_SQL = f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions.prompts import concept_tags, pair_prompt
 from ledgerloom.operators import keys as K
 from ledgerloom.queries.base import RECORDS_SQL, query, records, table
 
@@ -206,6 +207,25 @@ def suffix_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_records(spark, sf_dir).select("entity_id", T.strip_suffixes(T.name_text(F.col("business_name"))).alias("stripped"))
 
 
+@query(
+    f"""with {RAW_SQL}
+select country, count(*) as n, sum(regexp_matches(lower(name), '\\b(?:llc|inc|ltd|limited|corp|sarl|gmbh|pvt)\\b')::int)::bigint as legal, sum(regexp_matches(name, '[0-9]')::int)::bigint as number,
+sum(regexp_matches(lower(name), '\\b(?:cafe|coffee|restaurant|bakery|pizza|seafood|grill)\\b')::int)::bigint as food from raw group by country"""
+)
+def concept_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = concept_tags(F.col("business_name"))
+    return raw_records(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n"), *[F.count_if(tags[k]).alias(k) for k in ("legal", "number", "food")])
+
+
+@query(
+    f"""with {RAW_SQL}
+select id::varchar as entity_id, 'Record A' || chr(10) || 'name: ' || name || chr(10) || 'country: ' || country || chr(10) || chr(10) || 'Record B' || chr(10) || 'name: ' || name || chr(10) || 'country: [missing]' as prompt from raw"""
+)
+def pair_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, c = F.col("business_name"), F.col("country")
+    return raw_records(spark, sf_dir).select("entity_id", pair_prompt({"name": n, "country": c}, {"name": n, "country": F.lit("")}).alias("prompt"))
+
+
 @query()
 def lexical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.lexical(F.col("text")).alias("lexical"), T.safe_text(F.col("text")).alias("safe"), T.script_of(F.col("text")).alias("script"))
