@@ -126,7 +126,8 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
         c = Chunk(t.column("key").to_numpy(), t.column("text").combine_chunks(), n)
         out = {"row": [], "block": [], "chunk": [], "cells": []}
         for row, cells in enumerate(_cells(c.hash, bits)):
-            cells = np.unique(cells)
+            cells = np.sort(cells)
+            cells = cells[np.append(True, cells[1:] != cells[:-1])] if len(cells) else cells
             for block, a, b in _by_block(cells, bits - blocks):
                 for k, v in (("row", row), ("block", block), ("chunk", t.column("chunk")[0].as_py()), ("cells", pack(cells[a:b] & W.U((1 << bits - blocks) - 1)))):
                     out[k].append(v)

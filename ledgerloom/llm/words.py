@@ -173,8 +173,8 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def repeated(key: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     s = np.sort(key)
-    again = np.unique(s[1:][s[1:] == s[:-1]])
-    return member(key, again)
+    again = s[1:][s[1:] == s[:-1]]
+    return member(key, again[np.append(True, again[1:] != again[:-1])] if len(again) else again)
 
 
 def member(key: np.ndarray, known: np.ndarray) -> np.ndarray:
