@@ -8,8 +8,6 @@ program for the budget that remains.  Documents of a length are picked by a seed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -102,13 +100,12 @@ def _placed(docs: DataFrame, share: float, most: int, seed: int, id_col: str, te
     budget = targets([w for _, w in sources], [WEIGHTS[k % len(WEIGHTS)] for k in range(len(sources))], share, most) if sources else []
     plan = spark.createDataFrame([(s, w, float(t), int(round(t)) // w if w else 0, int(round(t)) % w if w else 0) for (s, w), t in zip(sources, budget, strict=True)], "source string, source_size long, target double, passes long, rest long")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            got = fit(t.column("size").to_numpy(), t.column("n").to_numpy(), t.column("rest")[0].as_py()) if len(t) else np.zeros(0, np.int64)
-            yield pa.table({"source": t.column("source"), "size": t.column("size"), "quota": pa.array(got)})
+    def pick(t: pa.Table) -> pa.Table:
+        got = fit(t.column("size").to_numpy(), t.column("n").to_numpy(), t.column("rest")[0].as_py())
+        return pa.table({"source": t.column("source"), "size": t.column("size"), "quota": pa.array(got)})
 
     budgets = per_length.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    quotas = budgets.groupBy("source").applyInArrow(lambda t: next(pick([t])), "source string, size long, quota long")
+    quotas = budgets.groupBy("source").applyInArrow(pick, "source string, size long, quota long")
     # The rows of a length in hash order: ranges before the one that the quota cuts are taken whole, and only that one is ranked.
     ranges = rows.groupBy("source", "size", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -123,7 +120,8 @@ def _placed(docs: DataFrame, share: float, most: int, seed: int, id_col: str, te
     others = placed.where(~F.coalesce(ranked, F.lit(False))).withColumn("_extra", F.when(F.col("_range") <= F.col("_cut"), 1).otherwise(0))
     rank = F.row_number().over(Window.partitionBy("_source", "_size", "_range").orderBy("_hash", F.col("_id").asc_nulls_last()))
     out = others.unionByName(placed.where(ranked).withColumn("_extra", F.when(rank <= F.col("_free"), 1).otherwise(0)))
-    return out.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_p"))).withColumn("_times", F.col("_passes") + F.col("_extra"))
+    plan = F.broadcast(plan) if len(sources) <= 1 << 19 else plan
+    return out.join(plan, F.col("_source").eqNullSafe(F.col("_p"))).withColumn("_times", F.col("_passes") + F.col("_extra"))
 
 
 def _measures(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
