@@ -61,7 +61,6 @@ def summary(t: DataFrame) -> DataFrame:
 
 def loss_parts(t: DataFrame) -> DataFrame:
     """(error_type, n, loss): what each kind of error takes from the macro F0.5; the losses add up to 1 minus it."""
-    total = F.sum(F.count("*")).over(Window.partitionBy())
     return t.groupBy("error_type").agg(F.count("*").alias("n"), F.sum(1 - F.col("f05")).alias("lost")).withColumn("all", F.sum("n").over(Window.partitionBy())).select("error_type", "n", F.round(F.col("lost") / F.col("all"), 6).alias("loss"))
 
 
