@@ -32,8 +32,8 @@ WIDE = (Pass("all", K.BY_ALL, 50), Pass("name", K.BY_NAME, 30), Pass("addr", K.B
 
 
 def pool_stats(pool_keys: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequency (country, key, df) and records per country (country, n)."""
-    return pool_keys.groupBy("country", "key").agg(F.count_distinct("id").alias("df")), pool.groupBy("country").agg(F.count("*").alias("n"))
+    """Document frequency (country, key, df) and records per country (country, n); a record holds a key once."""
+    return pool_keys.groupBy("country", "key").agg(F.count("*").alias("df")), pool.groupBy("country").agg(F.count("*").alias("n"))
 
 
 def weighted(keys: DataFrame, stats: tuple[DataFrame, DataFrame], passes: tuple[Pass, ...]) -> DataFrame:
