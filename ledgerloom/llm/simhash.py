@@ -271,61 +271,166 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
     return prints.join(named, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies: several fingerprints of a text's words, and a longer one of its shingles
+# Near copies: bands of min-hashes of a text's shingles, confirmed by a SimHash
 
 
-#: Fingerprints of words per text, and 64-bit parts of the proof.
-PRINTS, PROOF = 6, 4
+#: Bands of min-hashes per text, min-hashes of a band, and 64-bit parts of the SimHash.
+BANDS, ROWS, PARTS = 24, 5, 4
+_ODD = np.random.default_rng(20240301).integers(0, 1 << 64, (BANDS, ROWS, 2), dtype=W.U) | W.U(1)
+#: Nodes of a bucket and shingles of their texts, at most about, that one cell holds.
+CELL, CELL_SHINGLES = 1 << 10, 1 << 22
 
 
-def signature_column(column: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """``PRINTS`` fingerprints of each text's different words, and ``PROOF`` parts of one of its shingles (A-Z lowered)."""
-    prints, proofs = [np.zeros((0, PRINTS), W.U)], [np.zeros((0, PROOF), W.U)]
-    seed = lambda k, step: W.U((k * step + 1) & (2**64 - 1))
+def shingle_sets(v: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different shingles of ``n`` words in ascending order of their hashes, and their texts; fewer words make
+    one shingle, no words the shingle zero."""
+    h, doc = v.hashes(), v.doc()
+    at, g = W.windows(h, v.first, n)
+    sets, owner = [g], [doc[at]]
+    for k in range(1, n):
+        if (v.count == k).any():
+            at, g = W.windows(h, v.first, k)
+            whole = v.count[doc[at]] == k
+            sets, owner = [*sets, g[whole]], [*owner, doc[at[whole]]]
+    blank = np.flatnonzero(v.count == 0)
+    g, doc = np.concatenate([*sets, np.zeros(len(blank), W.U)]), np.concatenate([*owner, blank])
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    once = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))
+    return g[once], doc[once]
+
+
+def signature_column(column: pa.Array, shingle: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices of the texts (A-Z lowered): a hash of each text's set of shingles, its ``BANDS`` bands, its SimHash of ``PARTS``
+    parts, the number of its shingles, and the upper halves of their hashes, ascending in each text."""
     for _, _, data, offs in W.slices(column):
-        v = W.Words(W.LOWER[data], offs)
-        h, doc, n = v.hashes(), v.doc(), len(v.count)
-        once = ~W.later(W.in_doc(h, doc))
-        prints.append(np.stack([majority(W.mix(h[once] + seed(k, 0x9E3779B97F4A7C15)), doc[once], n) for k in range(PRINTS)], axis=1))
-        at, g = W.windows(h, v.first, shingle)
-        proofs.append(np.stack([majority(W.mix(g + seed(k, 0xD1B54A32D192ED03)), doc[at], n) for k in range(PROOF)], axis=1))
-    return np.concatenate(prints), np.concatenate(proofs)
+        g, doc = shingle_sets(W.Words(W.LOWER[data], offs), shingle)
+        n = len(offs) - 1
+        size = np.bincount(doc, minlength=n)
+        start = np.cumsum(size) - size
+        bands = np.zeros((n, BANDS), W.U)
+        for b in range(BANDS):
+            for times, plus in _ODD[b]:
+                bands[:, b] = W.mix(bands[:, b] + W.U(b + 1)) + np.minimum.reduceat(g * times + plus, start)
+        proof = np.stack([majority(W.mix(g + W.U((k * 0xD1B54A32D192ED03 + 1) & (2**64 - 1))), doc, n) for k in range(PARTS)], axis=1)
+        yield W.mix(np.add.reduceat(W.mix(g + W.U(7)), start)), W.mix(bands), proof, size, (g >> W.U(32)).astype(np.uint32)
+
+
+def _near(proof: np.ndarray, sets: list[np.ndarray], label: np.ndarray, similarity: float, most: float) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join the components of ``label``: all pairs not yet joined are tested."""
+    size, out, label = np.array([len(s) for s in sets]), [], label.copy()
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9]
+        j = j[np.bitwise_count(proof[j] ^ proof[i]).sum(axis=1) <= most]
+        if not len(j):
+            continue
+        for x in j.tolist():
+            if label[x] != label[i]:
+                out.append((i, x))
+                label[label == label[x]] = label[i]
+    return out
+
+
+def _similar(rows: DataFrame, similarity: float, slack: float) -> DataFrame:
+    """Links (a, b) within the cells of ``rows`` (cell, node, root, proof, shingles); nodes of one root are joined already."""
+    overlap = 2 * similarity / (1 + similarity)
+    most = (float(np.arccos(overlap) / np.pi) + slack) * 64 * PARTS
 
+    def links_of(t: pa.Table) -> pa.RecordBatch:
+        cell, node, root = (t.column(c).to_numpy() for c in ("cell", "node", "root"))
+        proof = np.stack([np.frombuffer(p.as_py(), W.U) for p in t.column("proof")])
+        sets = [np.frombuffer(s.as_py(), np.uint32) for s in t.column("shingles")]
+        edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        pairs = [(a + i, a + j) for a, b in zip(edge, edge[1:], strict=False) for i, j in _near(proof[a:b], sets[a:b], root[a:b], similarity, most)]
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.055, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            c = b.column(b.schema.get_field_index("cell")).to_numpy()
+            if not len(c):
+                continue
+            cut = int(np.flatnonzero(np.append(True, c[1:] != c[:-1]))[-1])
+            if held and (cut or held[-1].column("cell")[-1].as_py() != c[0]):  # whole cells go; the last may go on in the next batch
+                yield links_of(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield links_of(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield links_of(pa.Table.from_batches(held))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(rows.select("cell", "node", "root", "proof", "shingles").repartition(n, "cell").sortWithinPartitions("cell"), run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.055, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, without near copies: of each group the smallest id stays.
 
-    Two texts of Jaccard similarity s on shingles have an overlap of 2s/(1+s) and differ in acos(overlap)/pi of the bits of a
-    SimHash of their shingles.  Near copies change few of their words, so one of ``PRINTS`` fingerprints of their words
-    differs in ``budget`` bits or fewer (over 0.99 of pairs at 0.8, measured); such pairs, found by the trie self-join, are
-    confirmed by the bits of the shingles' SimHash of 64 * ``PROOF`` bits, with ``slack`` for its spread (2.5 deviations).
+    Texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more.  Pairs
+    are tested that share one of ``BANDS`` bands of ``ROWS`` min-hashes of the shingles, whatever the shape of the edits: at 0.8
+    a pair is missed with (1 - 0.8**5)**24, 7 in 100,000.  A SimHash of 64 * ``PARTS`` bits confirms them (two sets of
+    similarity s overlap by 2s/(1+s) at least and differ in acos(overlap)/pi of the bits or fewer; ``slack`` is 2.5 deviations).
     Groups are the components of these links.
 
-    Blank texts are copies of each other.  Texts of fewer words than a shingle are compared by their words alone.  Of rows
-    of one id, one stays.  Rows without an id link others but always stay, since nothing tells which of them to keep.
+    Buckets of one set of texts are taken once.  In a bucket all pairs that aren't joined yet are tested.  One over ``CELL`` texts
+    is cut in salted parts, tested each with a text of every other part; where that leaves several components, every
+    pair of parts is a cell of its own.
+
+    Blank texts are copies of each other; texts of fewer words than a shingle are one shingle.  Of rows of one id, one stays.
+    Rows without an id link others but always stay, since nothing tells which of them to keep.
     """
-    overlap = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(overlap) / np.pi) + slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, proof = signature_column(b.column(1), shingle)
-            offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * PRINTS)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * PROOF), len(b), [None, pa.py_buffer(np.ascontiguousarray(proof).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel())), raw], ["id", "prints", "proof"])
-
-    signed = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, prints array<long>, proof binary")
+            at = 0
+            for node, bands, proof, size, sets in signature_column(b.column(1), shingle):
+                n = len(node)
+                banded = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                proved = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * PARTS), n, [None, pa.py_buffer(np.ascontiguousarray(proof).tobytes())]).cast(pa.binary())
+                offsets = pa.py_buffer(np.append(0, 4 * np.cumsum(size)).astype(np.int32).tobytes())
+                shingles = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(sets.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(node.view(np.int64)), banded, proved, pa.array(size.astype(np.int64)), shingles], ["id", "node", "bands", "proof", "size", "shingles"])
+                at += n
+
+    signed = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, node long, bands array<long>, proof binary, size long, shingles binary")
     signed = materialise(signed, "signatures")
-    key = F.xxhash64("prints", "proof")
-    nodes = signed.groupBy("prints", "proof").agg(F.min("id").alias("node"))
-    nodes = materialise(nodes.select("prints", "proof", F.coalesce("node", _NO_ID + (key.bitwiseAND(F.lit(_NO_ID - 1)))).alias("node")), "nodes")
-    found = components(links(nodes, budget, confirm=share))
-    named = signed.join(nodes, ["prints", "proof"]).join(found, "node", "left").where("id is not null")
-    gone = named.where("id != coalesce(root, node)").select(F.col("id").alias("_gone")).distinct()
-    gone = materialise(gone, "gone")
-    twice = materialise(signed.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_gone")), "twice")
-    out = docs.join(small(gone.union(twice).distinct()), docs[id_col] == F.col("_gone"), "left_anti")
+    rows = signed.select("node", "bands", "size").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
+    rows = materialise(rows, "bands")
+    held = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+    held = held.groupBy("n", "words", "who", "lo", "hi").agg(F.min("bucket").alias("bucket"))
+    held = held.select("bucket", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("words") / CELL_SHINGLES)).alias("parts"))
+    held = materialise(held, "buckets")
+    members = rows.join(small(held), "bucket").withColumn("salt", F.expr("pmod(xxhash64(node), parts)"))
+    members = materialise(members.select("bucket", "parts", "salt", "node", F.col("node").alias("root")), "members")
+    few = materialise(members.select("node").distinct().withColumnRenamed("node", "n"), "few")
+    sets = signed.join(small(few), F.col("node") == F.col("n"), "left_semi").select("node", "proof", "shingles").dropDuplicates(["node"])
+    sets = materialise(sets, "sets")
+
+    def cells(rows: DataFrame, of: list) -> DataFrame:
+        return rows.select("node", "root", F.xxhash64("bucket", *of).alias("cell")).join(sets, "node")
+
+    found = _similar(cells(members, ["salt"]), similarity, slack)
+    heads = members.where("parts > 1").groupBy("bucket", "salt").agg(F.min("node").alias("node")).withColumn("root", F.col("node"))
+    found = materialise(found.unionByName(_similar(cells(heads, []), similarity, slack)), "found")
+    large = members.where("parts > 1").drop("root")
+    if not large.isEmpty():
+        joined = materialise(components(found), "joined")
+        large = materialise(large.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "large")
+        split = large.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        large = large.join(split, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        found = found.unionByName(_similar(cells(large, [F.least("salt", "other"), F.greatest("salt", "other")]), similarity, slack))
+    roots = materialise(components(found), "roots")
+    named = signed.where("id is not null").select("id", "node").join(small(roots), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    named = materialise(named, "named")
+    kept = materialise(named.groupBy("root").agg(F.min("id").alias("keep"), F.max("id").alias("last")).where("keep < last").drop("last"), "kept")
+    gone = named.join(small(kept), "root", "left").groupBy("id").agg(F.min(F.col("id") > F.coalesce("keep", "id")).alias("gone"), F.count("*").alias("rows"))
+    gone = materialise(gone.where("gone or rows > 1"), "gone")
+    out = docs.join(small(gone.select(F.col("id").alias("_gone"))), docs[id_col] == F.col("_gone"), "left_anti")
+    twice = gone.where("not gone").select(F.col("id").alias("_gone"))
     if twice.isEmpty():
         return out
-    again = docs.join(twice.join(gone, "_gone", "left_anti"), docs[id_col] == F.col("_gone"), "left_semi")
+    again = docs.join(twice, docs[id_col] == F.col("_gone"), "left_semi")
     return out.unionByName(again.dropDuplicates([id_col]))

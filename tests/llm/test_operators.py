@@ -195,6 +195,38 @@ def test_near_copies_go_and_others_stay(spark, empty, odd):
     assert simhash.keep_one(empty).count() == 0
 
 
+def _jaccard(a, b, n=5):
+    a, b = ({tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def _near_kept(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t), "", "", 0, 0, 0, "") for i, t in texts.items()], SCHEMA)
+    return {r.doc_id for r in simhash.keep_one(df).collect()}
+
+
+def test_near_copies_by_block_edits_go(spark):
+    rnd = random.Random(11)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = {k: new(rnd.randrange(150, 1500)) for k in range(240)}
+    for k in range(240):
+        t = texts[k]
+        n = len(t)
+        if k % 4 == 0:  # appended
+            edited = t + new(int(n * 0.22))
+        elif k % 4 == 1:  # cut
+            edited = t[: n - int(n * 0.17)]
+        elif k % 4 == 2:  # tail replaced
+            edited = t[: n - int(n * 0.09)] + new(int(n * 0.09))
+        else:  # scattered
+            edited = list(t)
+            for x in rnd.sample(range(n), n // 50):
+                edited[x] = new(1)[0]
+        assert _jaccard(t, edited) >= 0.8
+        texts[1000 + k] = edited
+    assert _near_kept(spark, texts) == set(range(240))
+
+
 def test_extract_pages(spark):
     page = (
         '<!DOCTYPE html><html><head><title>No</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c -->'
