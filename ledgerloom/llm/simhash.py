@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
     return prints.join(named, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies: bands of min-hashes of a text's shingles, confirmed by a SimHash
+# Near copies: bands of min-hashes of a text's shingles, a SimHash before the exact similarity
 
 
 #: Bands of min-hashes per text, min-hashes of a band, and 64-bit parts of the SimHash.
@@ -325,6 +325,9 @@ def _near(proof: np.ndarray, sets: list[np.ndarray], label: np.ndarray, similari
         j = j[np.bitwise_count(proof[j] ^ proof[i]).sum(axis=1) <= most]
         if not len(j):
             continue
+        both = sets[i][np.minimum(np.searchsorted(sets[i], cat := np.concatenate([sets[x] for x in j])), size[i] - 1)] == cat
+        both = np.add.reduceat(both, np.cumsum(size[j]) - size[j], dtype=np.int64)
+        j = j[both >= similarity * (size[i] + size[j] - both) - 1e-9]
         for x in j.tolist():
             if label[x] != label[i]:
                 out.append((i, x))
@@ -366,13 +369,14 @@ def _similar(rows: DataFrame, similarity: float, slack: float) -> DataFrame:
     return map_batches(rows.select("cell", "node", "root", "proof", "shingles").repartition(n, "cell").sortWithinPartitions("cell"), run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.055, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, without near copies: of each group the smallest id stays.
 
     Texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more.  Pairs
     are tested that share one of ``BANDS`` bands of ``ROWS`` min-hashes of the shingles, whatever the shape of the edits: at 0.8
-    a pair is missed with (1 - 0.8**5)**24, 7 in 100,000.  A SimHash of 64 * ``PARTS`` bits confirms them (two sets of
-    similarity s overlap by 2s/(1+s) at least and differ in acos(overlap)/pi of the bits or fewer; ``slack`` is 2.5 deviations).
+    a pair is missed with (1 - 0.8**5)**24, 7 in 100,000.  A SimHash of 64 * ``PARTS`` bits sets most others aside (two sets of
+    similarity s overlap by 2s/(1+s) at least and differ in acos(overlap)/pi of the bits or fewer; ``slack`` is 4.5 deviations).
+    What it leaves is counted shingle by shingle, on 32 bits of their hashes (n shingles err by about n / 2**32 of the similarity).
     Groups are the components of these links.
 
     Buckets of one set of texts are taken once.  In a bucket all pairs that aren't joined yet are tested.  One over ``CELL`` texts

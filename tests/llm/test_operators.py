@@ -227,6 +227,16 @@ def test_near_copies_by_block_edits_go(spark):
     assert _near_kept(spark, texts) == set(range(240))
 
 
+def test_texts_below_the_similarity_stay(spark):
+    rnd = random.Random(12)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = {k: new(400) for k in range(60)}
+    for k in range(60):
+        texts[1000 + k] = texts[k] + new(rnd.randrange(110, 170))
+        assert 0.69 < _jaccard(texts[k], texts[1000 + k]) < 0.79
+    assert _near_kept(spark, texts) == set(texts)
+
+
 def test_extract_pages(spark):
     page = (
         '<!DOCTYPE html><html><head><title>No</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c -->'
