@@ -16,7 +16,7 @@ of its component there), never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +93,7 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _walk(key: np.ndarray, budget: int, exact: int, label: np.ndarray, test: Callable | None, piece: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _walk(key: np.ndarray, budget: int, exact: int, label: np.ndarray, piece: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the sorted distinct ``key`` within ``budget`` differing bits and equal in the first ``exact`` ones.
 
     Pairs of nodes whose fingerprints all have one label are pruned.
@@ -137,9 +137,6 @@ def _walk(key: np.ndarray, budget: int, exact: int, label: np.ndarray, test: Cal
             i, j = np.repeat(la, size) + k // w, np.repeat(lb, size) + k % w
             near = (i < j) & (np.bitwise_count(key[i] ^ key[j]) <= budget) & (label[i] != label[j])
             i, j = i[near], j[near]
-            if test is not None and len(i):
-                ok = test(i, j)
-                i, j = i[ok], j[ok]
             if len(i):
                 yield i, j
         rest = ~done & ~leaf
@@ -151,7 +148,7 @@ def trie_links(key: np.ndarray, budget: int, exact: int = 0) -> np.ndarray:
     """Component labels (smallest index) of the sorted distinct ``key`` under links within ``budget`` bits."""
     label = np.arange(len(key))
     for b in range(1, budget + 1):
-        for i, j in _walk(key, b, exact, label, None):
+        for i, j in _walk(key, b, exact, label):
             label = _union(label, i, j)
     return label
 
@@ -166,27 +163,25 @@ def _segments(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(prints: DataFrame, budget: int = 4, cell: int = 1 << 20, confirm: float | None = None) -> DataFrame:
+def links(prints: DataFrame, budget: int = 4, cell: int = 1 << 20) -> DataFrame:
     """Links (a, b) between the nodes of ``prints`` that give its components under ``budget`` differing bits.
 
-    ``prints`` has ``node`` long and ``prints`` array<long>: any of these fingerprints links.  With ``confirm``, it also
-    has ``proof`` binary, and a link needs proofs that differ in at most that share of their bits.
+    ``prints`` has ``node`` long and ``prints`` array<long>: any of these fingerprints links.
     """
     spark, segs = prints.sparkSession, _segments(budget)
-    cols = [F.col("node")] + ([F.col("proof")] if confirm is not None else [])
-    rows = prints.select(*cols, F.posexplode("prints").alias("word", "print"))
+    rows = prints.select("node", F.posexplode("prints").alias("word", "print"))
     rows = rows.withColumn("part", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.expr(f"shiftrightunsigned(print, {64 - a - w}) & {(1 << w) - 1}").alias("value")) for k, (a, w) in enumerate(segs)])))
-    rows = rows.select(*cols, "print", "word", "part.seg", "part.value")
+    rows = rows.select("node", "print", "word", "part.seg", "part.value")
     # Values with many fingerprints get several salted parts; at most words * segments * 2**width rows, by construction.
     hot = rows.groupBy("word", "seg", "value").count().where(f"count > {cell}").select("word", "seg", "value", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
     rows = rows.join(hot, ["word", "seg", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("salt", F.when(F.col("parts") > 1, F.expr("cast(pmod(xxhash64(node), parts) as int)")).otherwise(0))
     rows = rows.withColumn("other", F.explode(F.when(F.col("parts") > 1, F.expr("sequence(0, parts - 1)")).otherwise(F.array(F.lit(0)))))
-    rows = rows.select(*cols, "print", F.expr(f"word * {len(segs)} + seg").alias("kind"), F.expr("xxhash64(word, seg, value, least(salt, other), greatest(salt, other))").alias("cell"))
+    rows = rows.select("node", "print", F.expr(f"word * {len(segs)} + seg").alias("kind"), F.expr("xxhash64(word, seg, value, least(salt, other), greatest(salt, other))").alias("cell"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell")
 
-    def one(kind: int, node: np.ndarray, key: np.ndarray, proof: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def one(kind: int, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links among the rows of one fingerprint and segment."""
         start, width = segs[kind % len(segs)]
         key = _rotate(key, start)
@@ -194,17 +189,9 @@ def links(prints: DataFrame, budget: int = 4, cell: int = 1 << 20, confirm: floa
         key, node = key[order], node[order]
         label, near = np.arange(len(key)), np.flatnonzero(key[1:] == key[:-1])
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        test = None
-        if proof is not None:
-            proof, most = proof[order], confirm * 64 * proof.shape[1]
-
-            def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                return np.bitwise_count(proof[i] ^ proof[j]).sum(axis=1) <= most
-
-            near = near[test(near, near + 1)]  # along a run of equal fingerprints
         label = _union(label, near, near + 1)
         for b in range(1, budget + 1):
-            for i, j in _walk(key[first], b, width, label[first], test and (lambda i, j: test(first[i], first[j]))):
+            for i, j in _walk(key[first], b, width, label[first]):
                 label = _union(label, first[i], first[j])
         linked = np.flatnonzero(node != node[label])
         return node[linked], node[label][linked]
@@ -215,11 +202,7 @@ def links(prints: DataFrame, budget: int = 4, cell: int = 1 << 20, confirm: floa
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             kind, node, key = (t.column(c).to_numpy() for c in ("kind", "node", "print"))
-            proof = None
-            if confirm is not None:
-                column = t.column("proof").combine_chunks().cast(pa.large_binary())
-                proof = np.frombuffer(column.buffers()[2], W.U).reshape(len(node), -1) if len(node) else np.zeros((0, 1), W.U)
-            got = [one(int(k), node[m], key[m].view(W.U), None if proof is None else proof[m]) for k in np.unique(kind) for m in [kind == k]]
+            got = [one(int(k), node[m], key[m].view(W.U)) for k in np.unique(kind) for m in [kind == k]]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*got, strict=True)], ["a", "b"])
 
         for b in batches:

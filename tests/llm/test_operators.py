@@ -237,6 +237,33 @@ def test_texts_below_the_similarity_stay(spark):
     assert _near_kept(spark, texts) == set(texts)
 
 
+def test_near_copies_of_the_same_words_in_another_order(spark, monkeypatch):
+    rnd = random.Random(13)
+    texts = {}
+    for k in range(30):
+        a, b = [f"w{rnd.randrange(10**6)}" for _ in range(300)], None
+        b = a[::-1]
+        # ids: a, its words in another order, copies of both with the first word moved
+        texts |= {10 * k: a, 10 * k + 1: b, 10 * k + 2: a[1:] + a[:1], 10 * k + 3: b[1:] + b[:1]}
+    assert _near_kept(spark, texts) == {10 * k + x for k in range(30) for x in (0, 1)}
+
+
+@pytest.mark.parametrize("cell", [2, 7])
+def test_near_copies_in_small_cells_lose_none(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rnd = random.Random(14)
+    texts = {}
+    for k in range(3):
+        t = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        for n in range(25):  # a chain: neighbours are near copies, its ends aren't
+            texts[100 * k + n] = t[4 * n : 4 * n + 200]
+    kept = set(texts)
+    ids = sorted(texts)
+    close = {(i, j) for i in ids for j in ids if i < j and _jaccard(texts[i], texts[j]) >= 0.8}
+    assert all((i, i + 1) in close for i in ids if i % 100 < 24) and (0, 24) not in close
+    assert _near_kept(spark, texts) == {0, 100, 200} < kept
+
+
 def test_extract_pages(spark):
     page = (
         '<!DOCTYPE html><html><head><title>No</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c -->'
