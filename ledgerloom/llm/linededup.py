@@ -92,19 +92,21 @@ def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
     return rows.join(first, "interval").select("pos", "run", ((F.col("pos") > F.col("first")) & (F.col("run") >= least)).alias("cut"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 2, long: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, longest_run, kept_sha256) per row.
 
     Lines are parts of the text between line feeds; those without a word are neither counted nor compared, and stay.
     A line goes if it lies in a run of ``least`` lines that occurs earlier too: in a row with a smaller id, or earlier in
-    the same text.  ``longest_run`` is the longest run of the row's lines that occurs elsewhere.  A null text has no lines and
+    the same text.  Given ``long``, a line of more words than that goes also if it occurs earlier by itself.  ``longest_run`` is the longest run of the row's lines that occurs elsewhere.  A null text has no lines and
     keeps the empty text.  Rows without an id come last, ordered by their texts' hashes; rows equal in id and text are one
     document and give the same result each.  An empty table gives no rows.
     """
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = F.expr(f"filter(transform(split(text, '\n'), (x, k) -> struct(k as line, x as words)), x -> x.words rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
-    hashed = F.transform(parts, lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["words"], F.length(p["words"])).alias("hash")))
+    # more than ``long`` words take twice as many characters at least
+    wordy = lambda x: F.lit(False) if long is None else F.when(F.length(x) > 2 * long, F.regexp_count(x, F.lit(f"{_WORD}+")) > long).otherwise(False)
+    hashed = F.transform(parts, lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["words"], F.length(p["words"])).alias("hash"), wordy(p["words"]).alias("long")))
     base = materialise(rows.select("id", "tie", hashed.alias("parts")), "hashed")
     base = base.dropDuplicates(["id", "tie"]).withColumn("n_lines", F.size("parts").cast("long")).where("n_lines > 0")
     # Documents of the same lines: the first stands for all in the array, and the others lose what they have.
@@ -117,12 +119,17 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
     marked = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tie") == F.col("c_tie"))
     lines = base.join(small(copies.where("later = 1")), marked, "left_anti")
     lines = lines.select("id", "tie", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("part is not null")
-    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.col("part.hash").alias("hash"))
+    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.col("part.hash").alias("hash"), F.col("part.long").alias("long"))
     lines = materialise(lines, "lines")
     placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="numbered", rows=lines.count())
     placed = materialise(placed.withColumnRenamed("row_no", "pos").drop("before"), "placed")
     runs = materialise(repeated_runs(placed.select("pos", "left", F.col("hash").alias("id")), least), "runs")
-    gone = runs.where("cut").select(F.explode(F.sequence("pos", F.col("pos") + least - 1)).alias("pos")).distinct().withColumn("gone", F.lit(True))
+    gone = runs.where("cut").select(F.explode(F.sequence("pos", F.col("pos") + least - 1)).alias("pos"))
+    if long is not None:
+        alone = placed.where("long").select("pos", "hash")
+        first = alone.groupBy("hash").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+        gone = gone.union(alone.join(small(materialise(first, "long")), "hash").where("pos > first").select("pos"))
+    gone = gone.distinct().withColumn("gone", F.lit(True))
     marks = placed.join(runs.select("pos", "run"), "pos", "left").join(gone, "pos", "left")
     marks = marks.groupBy(F.col("id").alias("i"), F.col("tie").alias("t")).agg(
         F.max("n_lines").alias("n_lines"),
@@ -132,8 +139,8 @@ def remove_repeats(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text
     )
     # copies: their lines all occur earlier, as one run
     alike = copies.join(base.select("id", "tie", "n_lines", "parts"), marked)
-    gone_too = F.col("later") * (F.col("n_lines") >= least).cast("int")
-    alike = alike.select("c_id", "c_tie", "later", F.col("n_lines").alias("all"), F.when(gone_too == 1, F.transform("parts", lambda p: p["line"])).otherwise(F.array().cast("array<int>")).alias("out"))
+    gone_too = F.filter("parts", lambda p: (F.col("n_lines") >= least) | p["long"])
+    alike = alike.select("c_id", "c_tie", "later", F.col("n_lines").alias("all"), F.when(F.col("later") == 1, F.transform(gone_too, lambda p: p["line"])).otherwise(F.array().cast("array<int>")).alias("out"))
     pair = F.col("i").eqNullSafe(F.col("c_id")) & (F.col("t") == F.col("c_tie"))
     marks = marks.join(alike, pair, "full").select(
         F.when(F.col("t").isNull(), F.col("c_id")).otherwise(F.col("i")).alias("i"),

@@ -45,7 +45,7 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import linededup
 
-    return linededup.remove_repeats(_documents(spark, sf_dir))
+    return linededup.remove_repeats(_documents(spark, sf_dir), long=50)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,6 +315,16 @@ def test_line_runs(docs, odd, empty):
     assert linededup.remove_repeats(empty).count() == 0
 
 
+def test_long_lines_that_repeat_alone_go(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    short = " ".join(f"w{k}" for k in range(50))
+    texts = {1: f"a\n{line}\nb", 2: line, 3: line, 4: f"c\n{line}\nd", 5: short, 6: short, 7: f"{line}\ne\n{short}"}
+    df = spark.createDataFrame([(i, x, "", "", 0, 0, 0, "") for i, x in texts.items()], SCHEMA)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in linededup.remove_repeats(df, long=50).collect()}
+    kept = {**texts, 2: "", 3: "", 4: "c\nd", 7: f"e\n{short}"}
+    assert got == {i: (texts[i].count("\n") + 1, (i in (2, 3, 4, 7)) + 0, brute.sha(kept[i])) for i in texts}
+
+
 def test_spans(docs, odd, empty):
     assert by_id(spans.remove_repeats(docs)) == by_id_rows(brute.spans(ordered(docs)))
     out = spans.remove_repeats(odd, texts=True).where("doc_id = 5").collect()
