@@ -67,7 +67,7 @@ def _run(word: bytes) -> bytes | None:
 
 
 class _Table:
-    """Numbers of words by a 64-bit hash and their first letters and length: open addressing in numpy, at most three quarters full."""
+    """Numbers of words by a 64-bit hash and their first letters and length: open addressing in numpy, at most three quarters full: it grows."""
 
     def __init__(self, bits: int = 21) -> None:
         self.bits, self.n = bits, 0
@@ -95,6 +95,11 @@ class _Table:
 
     def add(self, h: np.ndarray, other: np.ndarray, number: np.ndarray) -> None:
         """Different words that aren't in it yet."""
+        while 4 * (self.n + len(h)) > 3 << self.bits:
+            held = self.first != 0
+            old = self.first[held], self.second[held], self.number[held]
+            self.__init__(self.bits + 1)
+            self.add(*old)
         slot, todo = self._slots(h), np.arange(len(h))
         self.n += len(h)
         while len(todo):

@@ -365,6 +365,16 @@ def test_tokens(docs, odd, empty):
     assert tokens.digest(tokens.write_tokens(empty, PATH)).count() == 0
 
 
+def test_table_of_words_grows():
+    table, rnd = tokens._Table(4), np.random.default_rng(5)
+    h, other = (rnd.integers(1, 1 << 64, 5000, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    table.add(h[:13], other[:13], np.arange(13))
+    assert table.bits > 4  # a full table would never end
+    table.add(h[13:], other[13:], np.arange(13, 5000))
+    assert table.n == 5000 <= 3 << table.bits - 2
+    assert (table.find(h, other) == np.arange(5000)).all() and (table.find(h + np.uint64(2), other) == -1).all()
+
+
 def test_segments_decode_at_random(texts):
     e = tokens.Encoder(PATH)
     plain = [t or "" for t in texts] * 3
