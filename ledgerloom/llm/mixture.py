@@ -17,7 +17,7 @@ from ledgerloom.llm.store import materialise, small
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Largest remaining budget, in words, that one dynamic program covers.
+#: Largest remaining budget that one dynamic program covers word by word.
 PROGRAM = 1 << 16
 #: Hash ranges of the documents of one length.
 RANGES = 1 << 10
@@ -38,6 +38,48 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
         capped = [c or o for c, o in zip(capped, over, strict=True)]
 
 
+def _program(size: np.ndarray, free: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """How many of the ``free`` ones of each length to take for ``left`` words, and the words still missing (negative: too many).
+
+    A sum's place is its words in units of one word up to ``PROGRAM`` words and as many more as the longest has; beyond, a unit
+    is so many words that they fit, and each place has the exact sum that reached it first.  ``size`` ascends.
+    """
+    take = np.zeros(len(size), np.int64)
+    use = np.flatnonzero((size > 0) & (free > 0))
+    if not len(use) or left <= 0:
+        return take, left
+    longest = min(int(size[use[-1]]), int(size[use][size[use] >= left][0]) if (size[use] >= left).any() else left)
+    unit = max(1, -(-(left + longest) // (2 * PROGRAM)))
+    limit = -(-(left + longest) // unit)  # a sum above may be nearer than any below
+    # reached[j]: the item that first made the place j; items are 1, 2, 4, ... of a length (bounded knapsack by halves)
+    reached, words, came = np.full(limit + 1, -1, np.int64), np.zeros(limit + 1, np.int64), np.zeros(limit + 1, np.int64)
+    reached[0] = -2
+    items: list[tuple[int, int]] = []
+    best = 0
+    for k in use:
+        many, step = min(int(free[k]), (left + longest) // int(size[k])), 1
+        while many > 0 and words[best] != left:
+            n = min(step, many)
+            many, step, whole = many - n, 2 * step, n * int(size[k])
+            weight = max(1, round(whole / unit))
+            if weight > limit:
+                continue
+            new = np.flatnonzero((reached[: limit + 1 - weight] != -1) & (reached[weight:] == -1)) + weight
+            if len(new):
+                reached[new], came[new], words[new] = len(items), new - weight, words[new - weight] + whole
+                items.append((k, n))
+                nearest = int(new[np.argmin(np.abs(words[new] - left))])
+                best = nearest if abs(int(words[nearest]) - left) < abs(int(words[best]) - left) else best
+        if words[best] == left:
+            break
+    at = best
+    while at:
+        k, n = items[reached[at]]
+        take[k] += n
+        at = int(came[at])
+    return take, left - int(words[best])
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that the words taken come as near ``budget`` as the program finds."""
     order = np.argsort(lengths, kind="stable")
@@ -51,38 +93,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     take[some] = np.floor(have[some] * (budget / total)).astype(np.int64)
     left = budget - int((size * take).sum())
-    # Long ones bring what is left into the program's reach.
-    for k in np.flatnonzero(some)[::-1]:
-        if left <= PROGRAM:
+    # Long ones bring what is left into the program's reach: of one word a unit, or if that isn't exact of ever coarser ones.
+    best, off = take, left
+    for reach in (PROGRAM, 2 * int(size[-1]), 16 * int(size[-1]), left):
+        near, rest = take.copy(), left
+        for k in np.flatnonzero(some)[::-1]:
+            if rest <= reach:
+                break
+            more = min(int(have[k] - near[k]), (rest - reach // 2) // int(size[k]))
+            if more > 0:
+                near[k] += more
+                rest -= more * int(size[k])
+        while rest > 0:
+            more, missing = _program(size, have - near, rest)
+            if not more.any():
+                break
+            near, rest = near + more, missing
+        if abs(rest) < abs(off):
+            best, off = near, rest
+        if off == 0:
             break
-        more = min(int(have[k] - take[k]), (left - PROGRAM // 2) // int(size[k]))
-        if more > 0:
-            take[k] += more
-            left -= more * int(size[k])
-    reach = min(left, PROGRAM)
-    limit = reach + min(int(size.max()), PROGRAM)  # a sum above may be nearer than any below
-    # reached[j]: the item that first made the sum j; items are 1, 2, 4, ... of a length (bounded knapsack by halves)
-    reached = np.full(limit + 1, -1, np.int64)
-    reached[0] = -2
-    items: list[tuple[int, int]] = []
-    for k in np.flatnonzero(some):
-        free, step = min(int(have[k] - take[k]), limit // int(size[k])), 1
-        while free > 0 and reached[reach] == -1:
-            n = min(step, free)
-            free, step, weight = free - n, 2 * step, n * int(size[k])
-            if weight > limit:
-                continue
-            new = np.flatnonzero((reached[: limit + 1 - weight] != -1) & (reached[weight:] == -1)) + weight
-            reached[new] = len(items)
-            items.append((k, n))
-        if reached[reach] != -1:
-            break
-    sums = np.flatnonzero(reached != -1)
-    at = int(sums[np.argmin(np.abs(sums - reach))])
-    while at:
-        k, n = items[reached[at]]
-        take[k] += n
-        at -= n * int(size[k])
+    take = best
     out = np.zeros(len(size), np.int64)
     out[order] = take
     return out

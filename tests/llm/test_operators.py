@@ -136,6 +136,26 @@ def test_knapsack_fits_exactly():
         assert (take >= 0).all() and (take <= counts).all() and abs((lengths * take).sum() - budget) <= 250
 
 
+@pytest.mark.parametrize("scale", [10, 60_000, 200_000, 3_000_000])
+def test_knapsack_takes_long_documents(scale):
+    # one document more, above the budget, is nearer than none
+    assert mixture.fit(np.array([scale]), np.array([1]), scale * 9 // 10 or 1).tolist() == [1]
+    assert mixture.fit(np.array([scale]), np.array([3]), scale * 29 // 10).tolist() == [3]
+
+
+def test_knapsack_of_few_long_documents_is_near_the_best():
+    rnd = random.Random(15)
+    assert mixture.fit(np.array([200_000, 290_000]), np.array([1, 1]), 300_000).tolist() == [0, 1]
+    for _ in range(60):
+        have = [rnd.randrange(10_000, 400_000) for _ in range(9)]
+        sizes = np.array(sorted(set(have)))
+        budget = rnd.randrange(sum(have))
+        got = mixture.fit(sizes, np.array([have.count(x) for x in sizes]), budget)
+        sums = np.array([sum(x for k, x in enumerate(have) if m >> k & 1) for m in range(512)])
+        floor = np.abs(sums - budget).min()
+        assert (got <= 1).all() and abs(int(got @ sizes) - budget) <= floor + 9 * 20  # a unit is under 20 words here
+
+
 def test_simhash(docs, odd, empty):
     rows = ordered(docs)
     prints = [brute.fingerprint(t) for _, t in rows]
