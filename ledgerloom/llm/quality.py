@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm import words as W
@@ -54,13 +55,11 @@ def _lines(v: W.Words) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(n + 1, np.int64)
     np.cumsum(v.inside & ((v.data & 0xC0) != 0x80), out=inside[1:])
     chars = inside[end] - inside[start]
-    up, down = W._POWERS.get(n + 1)
-    total = np.zeros(n + 1, W.U)
-    np.cumsum(W._TABLE[v.data] * up[:n], out=total[1:])
-    h = W.mix((total[start + size] - total[start]) * down[start] + size.astype(W.U))
     doc = np.searchsorted(v.offs, start, "right") - 1
     real = chars > 0
-    h, doc, chars = h[real], doc[real], chars[real]
+    start, size, doc, chars = start[real], size[real], doc[real], chars[real]
+    raw, digest = v.data.tobytes(), xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(raw[a : a + m]) for a, m in zip(start.tolist(), size.tolist(), strict=True)), W.U, len(start))
     again = W.later(W.in_doc(h, doc))
     k = len(v.count)
     return np.bincount(doc[again], minlength=k), np.bincount(doc[again], chars[again], minlength=k).astype(np.int64)

@@ -33,8 +33,8 @@ from ledgerloom.llm.store import map_batches, materialise
 _HEAD = struct.Struct("<4sIIIQQB")
 #: Bytes of text in a segment, about; a longer text is a segment of its own.
 SEGMENT = 4 << 20
-#: Words that a worker remembers the ids of before it starts anew.
-KNOWN = 3 << 19
+#: Words (of up to ``words.LONG`` bytes) that a worker remembers the ids of before it starts anew, and bytes of them and of their ids.
+KNOWN, KNOWN_BYTES = 3 << 18, 32 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -67,9 +67,9 @@ def _run(word: bytes) -> bytes | None:
 
 
 class _Table:
-    """Numbers of words by a 64-bit hash and their first letters and length: open addressing in numpy, at most three quarters full: it grows."""
+    """Numbers of words by a 64-bit hash and their first 8 bytes: open addressing in numpy, at most three quarters full: it grows."""
 
-    def __init__(self, bits: int = 21) -> None:
+    def __init__(self, bits: int = 18) -> None:
         self.bits, self.n = bits, 0
         self.first, self.second, self.number = np.zeros(1 << bits, W.U), np.zeros(1 << bits, W.U), np.zeros(1 << bits, np.int32)
 
@@ -113,6 +113,21 @@ class _Table:
             todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
 
+class _Row:
+    """An array that grows at its end; what is behind its end is zero."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) + 8 > len(self.data):
+            held = self.data[: self.n]
+            self.data = np.zeros(2 * (self.n + len(more)) + 8, self.data.dtype)
+            self.data[: self.n] = held
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Encoder:
     """Ids of texts by a tokenizers file that, as word_bpe_49k.json does, lowers letters, drops white space, parts runs of
     letters from signs and ends each run's ids with one of a ``</w>`` string."""
@@ -141,7 +156,9 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = _Table()
-        self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # of each word's number: where its ids begin and how many they are, and where its bytes begin and how many they are
+        self.ids, self.begin, self.size = _Row(np.uint32), _Row(np.int64), _Row(np.int32)
+        self.text, self.at, self.length = _Row(np.uint8), _Row(np.int64), _Row(np.int32)
 
     def _learn(self, plain: list[bytes]) -> np.ndarray:
         """Encode words that are new; returns their numbers."""
@@ -150,12 +167,33 @@ class Encoder:
         run = np.fromiter((r is not None for r in runs), bool, len(plain))
         for kind, words, encode in ((run, runs, self.encode_runs), (~run, plain, self.encode)):
             if kind.any():
-                ids, size = encode([words[i] for i in np.flatnonzero(kind).tolist()])
-                number[kind] = np.arange(len(self.size), len(self.size) + len(size))
-                self.begin = np.append(self.begin, len(self.pool) + np.cumsum(size) - size)
-                self.size, self.pool = np.append(self.size, size), np.append(self.pool, ids)
+                which = np.flatnonzero(kind).tolist()
+                ids, size = encode([words[i] for i in which])
+                number[kind] = np.arange(self.size.n, self.size.n + len(size))
+                held = [plain[i] for i in which]
+                length = np.fromiter(map(len, held), np.int64, len(held))
+                self.begin.add(self.ids.n + np.cumsum(size) - size)
+                self.at.add(self.text.n + np.cumsum(length) - length)
+                self.size.add(size)
+                self.length.add(length)
+                self.ids.add(ids)
+                self.text.add(np.frombuffer(b"".join(held), np.uint8))
         return number
 
+    def _same(self, v: W.Words, eights: np.ndarray, words: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which of the ``words`` (of up to ``LONG`` bytes) are, byte by byte, those of the numbers, given that their first 8 bytes are."""
+        size = v.end[words] - v.start[words]
+        same = self.length.data[number] == size
+        held = np.ndarray(len(self.text.data) - 7, "<u8", self.text.data, strides=(1,))
+        more, k = np.flatnonzero(same & (size > 8)), 1
+        while len(more):
+            left = np.minimum(size[more] - 8 * k, 8).astype(W.U)
+            theirs = held[self.at.data[number[more]] + 8 * k] & (~W.U(0) >> ((W.U(8) - left) * W.U(8)))
+            same[more] = theirs == v.piece(eights, k, words[more])
+            k += 1
+            more = more[same[more] & (size[more] > 8 * k)]
+        return same
+
     def encode_runs(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, for words that are one run: spaces part them, and the last id of each is one that ends a run."""
         step = 256
@@ -188,28 +226,39 @@ class Encoder:
         """The ids of all texts one after the other, each followed by ``end``, and the number of each text's ids."""
         flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for _, _, data, offs in W.slices(column):
-            if self.known.n > KNOWN:
+            if self.known.n > KNOWN or self.text.n + 4 * self.ids.n > KNOWN_BYTES:
                 self.forget()
             point = (data == 0x2E) | (data == 0x2C)
             point[1:] &= _LETTER[data[:-1]]  # the tokenizer parts letters from these signs
             point[:1] = False
             v = W.Words(data, offs, cut=point)
             v.data = _lowered(data, v)
-            h, other = v.hashes() | W.U(1), v.starts_with()
-            word = self.known.find(h, other)
-            missing = np.flatnonzero(word < 0)
+            eights, raw = v.eights(), None
+            h, first = v.hashes() | W.U(1), v.piece(eights, 0)
+            word = self.known.find(h, first)
+            new, long = word < 0, v.end - v.start > W.LONG
+            held = np.flatnonzero(~new & ~long)
+            word[held[~self._same(v, eights, held, word[held])]] = -1  # a hash that different words share
+            missing = np.flatnonzero((word < 0) & ~long)
+            if len(missing) or long.any():
+                raw = v.data.tobytes()
+                bytes_of = lambda at: [raw[s:e] for s, e in zip(v.start[at].tolist(), v.end[at].tolist(), strict=True)]  # noqa: B023, E731
             if len(missing):
-                shown, group = _different(h[missing], other[missing])
+                shown, group = _different(h[missing], first[missing])
                 at = missing[shown]
-                raw = v.data.tobytes()
-                number = self._learn([raw[s:e] for s, e in zip(v.start[at].tolist(), v.end[at].tolist(), strict=True)])
-                self.known.add(h[at], other[at], number)
+                number = self._learn(bytes_of(at))
                 word[missing] = number[group]
-            size = self.size[word]
+                self.known.add(h[at][new[at]], first[at][new[at]], number[new[at]])
+                other = missing[~self._same(v, eights, missing, word[missing])]
+                if len(other):
+                    word[other] = self._learn(bytes_of(other))
+            if long.any():
+                word[long] = self._learn(bytes_of(long))
+            size = self.size.data[word].astype(np.int64)
             per_text = W.per_doc(size, v.first)
             total = int(size.sum())
             place = np.arange(total)
-            flat = self.pool[place + np.repeat(self.begin[word] - np.cumsum(size) + size, size)]
+            flat = self.ids.data[place + np.repeat(self.begin.data[word] - np.cumsum(size) + size, size)]
             out = np.full(total + len(per_text), end, np.uint32)
             out[place + np.repeat(np.arange(len(per_text)), per_text)] = flat
             flats.append(out)

@@ -1,8 +1,9 @@
 """Vectorised word splitting and rolling hashes over Arrow string columns.
 
-A slice of texts is one byte array; words are byte ranges found with table lookups, and hashes of words and of
-word windows come from prefix sums of polynomials modulo 2**64.  Everything works on whole texts, in slices of
-about ``SLICE`` bytes (a longer text is a slice of its own), so that memory stays bounded by the longest text.
+A slice of texts is one byte array; words are byte ranges found with table lookups.  A word's hash takes in its bytes by
+eights, one mixing step after the other, and a window's hash joins those of its halves likewise, so that no arithmetic
+pattern of the text (as in polynomials modulo 2**64) makes different words or windows equal.  Everything works on whole
+texts, in slices of about ``SLICE`` bytes (a longer text is a slice of its own), so that memory stays bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 20
 U = np.uint64
-_BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=U)
+_ODD, _ODD2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,33 +31,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), U)
-    done = 1
-    while done < n:
-        step = U(pow(base, done, 1 << 64))
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * step
-        done += k
-    return out
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand and kept for the slices that follow."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * SLICE)
-            self.up, self.down = _powers(_BASE, n), _powers(_BASE_INV, n)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads each bit over all bits."""
     h = h ^ (h >> U(33))
@@ -65,6 +41,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of ``a`` and ``b``, in this order."""
+    h = a * _ODD
+    h += b
+    h ^= h >> U(29)
+    h *= _ODD2
+    h ^= h >> U(32)
+    return h
+
+
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets of the rows in bytes); null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,21 +97,29 @@ class Words:
         """The text number of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def eights(self) -> np.ndarray:
+        """The 8 bytes from each byte of the slice on as one number (zeros behind its end)."""
+        return np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, np.uint8)), strides=(1,))
+
+    def piece(self, eights: np.ndarray, k: int, words: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The k-th 8 bytes of those words, which have more than 8 * k; zeros behind a word's end."""
+        left = np.minimum(self.end[words] - self.start[words] - 8 * k, 8).astype(U)
+        return eights[self.start[words] + 8 * k] & (~U(0) >> ((U(8) - left) * U(8)))
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        up, down = _POWERS.get(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_TABLE[self.data] * up[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(U))
-
-    def starts_with(self) -> np.ndarray:
-        """The first 8 bytes and the length of each word in one number, as a check beside its hash."""
-        padded = np.append(self.data, np.zeros(8, np.uint8))
-        views = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
-        size = (self.end - self.start).astype(U)
-        short = np.minimum(size, U(8))
-        return (views[self.start] & (~U(0) >> ((U(8) - short) * U(8)))) ^ (size * U(0x9E3779B97F4A7C15))
+        """A 64-bit hash of each word; words of up to 8 bytes and one length never share one."""
+        if not len(self.start):
+            return np.zeros(0, U)
+        size, eights = self.end - self.start, self.eights()
+        h = mix(self.piece(eights, 0) + size.astype(U) * _ODD)
+        more, k = np.flatnonzero((size > 8) & (size <= LONG)), 1
+        while len(more):
+            h[more] = join(h[more], self.piece(eights, k, more))
+            k += 1
+            more = more[size[more] > 8 * k]
+        for w in np.flatnonzero(size > LONG).tolist():
+            h[w] = xxhash.xxh3_64_intdigest(self.data[self.start[w] : self.end[w]].tobytes())
+        return h
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space after each, and the place at which each word begins (one more at the end)."""
@@ -148,11 +142,16 @@ def windows(h: np.ndarray, first: np.ndarray, n: int, seed: int = 0) -> tuple[np
     for k in range(1, n):
         valid[np.maximum(ends - k, first[:-1][count > 0])] = False
     start = np.flatnonzero(valid)
-    up, down = _POWERS.get(len(h) + 1)
-    g = mix(h + U((seed * 0x9E3779B97F4A7C15 + n) & (2**64 - 1)))
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(g * up[: len(h)], out=total[1:])
-    return start, mix((total[start + n] - total[start]) * down[start])
+    # windows of 1, 2, 4, ... words, and from their ends those that add up to n
+    g, wide, out, done = mix(h + U((seed * 0x9E3779B97F4A7C15 + n) & (2**64 - 1))), 1, None, 0
+    while True:
+        if n & wide:
+            out = g if out is None else join(out[: len(g) - done], g[done:])
+            done += wide
+        if done == n:
+            return start, out[start]
+        g = join(g[:-wide], g[wide:])
+        wide *= 2
 
 
 def covered(start: np.ndarray, n: int, length: int) -> np.ndarray:

@@ -79,6 +79,61 @@ def test_words_and_windows_over_slices(texts):
     assert list(words.later(np.array([3, 1, 3, 3, 2, 1], np.uint64))) == [False, False, True, True, False, True]
 
 
+def _balanced(length=2048, start="ab" * 4):
+    """Two different words of one length, first letters and letter counts, in whose difference polynomials modulo 2**64 vanish."""
+    plus = [bin(k).count("1") & 1 for k in range(length)]
+    return start + "".join("ab"[x] for x in plus), start + "".join("ba"[x] for x in plus)
+
+
+def test_hashes_of_balanced_words_differ():
+    a, b = _balanced()
+    for x, y in [(a, b), _balanced(128), ("a" * 9, "a" * 10), ("\0", "\0\0")]:
+        data, offs = np.frombuffer(f"{x} {y}".encode(), np.uint8), np.array([0, len(x) + len(y) + 1])
+        v = words.Words(data, offs)
+        h = v.hashes()
+        assert len(h) == 2 and h[0] != h[1]
+    signs = np.array([bin(k).count("1") & 1 for k in range(16)])
+    h = np.random.default_rng(0).integers(0, 1 << 63, 2, dtype=np.uint64)
+    both = np.concatenate([h[signs], h[1 - signs]])
+    _, g = words.windows(both, np.array([0, 16, 32]), 16)
+    assert g[0] != g[1]
+    for n in range(1, 40):  # a window's hash depends on its words and their order only
+        w = np.random.default_rng(n).integers(0, 3, 60).astype(np.uint64)
+        start, g = words.windows(w, np.array([0, 25, 60]), n)
+        seen = {}
+        for s, x in zip(start.tolist(), g.tolist(), strict=True):
+            assert seen.setdefault(tuple(w[s : s + n].tolist()), x) == x
+        assert len(set(seen.values())) == len(seen) and len(start) == max(0, 26 - n) + max(0, 36 - n)
+
+
+def test_balanced_words_in_every_operator(spark, items):
+    from tokenizers import Tokenizer
+
+    a, b = _balanced()
+    say = lambda x: " ".join([x] * 12)
+    rows = [(1, say(a)), (2, say(b)), (3, f"{a}\n{b}\nx"), (4, " ".join(f"{x}{k}" for k in range(3) for x in (a, b)))]
+    df = spark.createDataFrame([(i, x, "", "", 0, 0, 0, "") for i, x in rows], SCHEMA)
+    known = [(1, say(a))]
+    assert by_id(decontam.contamination(df, spark.createDataFrame(known, "item_id long, text string"))) == by_id_rows(brute.contamination(rows, known))
+    assert by_id(spans.remove_repeats(df)) == by_id_rows(brute.spans(rows))
+    for r in quality.measure(df).collect():
+        n = brute.base_counts(dict(rows)[r.doc_id])
+        assert (r.n_words, r.n_dup_lines, r.n_repeat_words) == (n[0], n[3], n[4])
+    model = Tokenizer.from_file(PATH)
+    want = {d: zlib.crc32(np.array([*model.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, x in rows}
+    assert {r.doc_id: r.ids_crc32 for r in tokens.digest(tokens.write_tokens(df, PATH)).collect()} == want
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(words.Words, "hashes", lambda v: (v.end - v.start).astype(np.uint64))
+    texts = [" ".join(f"sameletters{k % 7}{x}" for k in range(20)) for x in "abcabc"] + ["x" * 300 + " " + "x" * 299 + "y"]
+    flat, sizes = tokens.Encoder(PATH).column(pa.array(texts), 1)
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+
+
 def test_shards(docs, odd, empty):
     assert by_id(shards.shard(docs)) == by_id_rows(brute.shards(ordered(docs)))
     got = shards.shard(odd).collect()
