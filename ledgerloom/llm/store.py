@@ -6,22 +6,48 @@ joins a true size, so that Catalyst broadcasts only what it has measured.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
+    """The shared folder named by the session; a temporary one only where none is set and the session runs on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         place = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def release() -> None:
+    """Give a worker's free memory back: it outlives its tasks, and would hold their largest arrays beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and ``release`` when it ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 #: Rows in an Arrow batch, so that batches of long texts stay small beside an executor's heap.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -30,7 +56,7 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` in batches of 2,000 rows, unless the session says otherwise than by default."""
     if df.sparkSession.conf.get(BATCH, "10000") == "10000":
         df.sparkSession.conf.set(BATCH, "2000")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
