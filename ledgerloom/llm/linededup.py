@@ -1,158 +1,206 @@
 """Removing repeated runs of lines with a suffix array over line ids.
 
-The lines of all documents, one document after the other, are a sequence of line ids (64-bit hashes); runs don't cross
-documents.  Its suffixes are sorted by distributed prefix doubling: the rank of a suffix by 2**(k+1) lines is that of the pair of
-ranks by 2**k lines, at it and 2**k lines on.  A suffix that is alone in its rank has its final place and leaves the rounds, so that
-after the first only repeated lines are left.  Neighbours in the array are compared by the ranks of all rounds, from the longest
-prefix down, for their longest common prefix; intervals of prefixes of ``least`` lines or more are the repeated runs, and
-of each such interval all but the first place in the corpus lose those lines.
-
-Ranks are positions found by range-partitioned prefix sums, so a line that a third of the documents hold is spread like any
-other.  Every round's table lies in the shared folder.
+The lines of all documents, one document after the other, are a sequence; runs don't cross documents.  Lines that occur once
+can't lie in a repeated run, so only the suffixes that begin with a repeated line are sorted.
+
+Prefix doubling: suffixes are sorted by their first ``HEAD`` lines, and then in rounds, each of two doublings, by the ranks of
+the prefixes of ``size`` lines at them and at ``size``, 2 * ``size`` and 3 * ``size`` lines on.  A round sorts the distinct keys only, with
+their counts, so that a passage of a third of the documents is one row.  A suffix keeps its ranks of all rounds: compared in
+turn they are its order, and the first that differs tells within a factor of four how many lines two suffixes share.
+A suffix takes part in a round while others have its rank and its document goes on; a document leaves when none of its
+suffixes does.
+
+Longest common prefixes of neighbours in the array: where the lines before two neighbours are equal too, the prefix is that of the
+pair before, less one line.  Only the others are compared, line by line, in blocks from where their ranks part.
+Intervals of prefixes of ``least`` lines or more are the repeated runs, and of each such interval all but the first place in
+the corpus lose those lines.
+
+Every round's table lies in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import materialise, numbered, small
+from ledgerloom.llm.store import map_batches, materialise, numbered
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: Lines of the first sort, and of the blocks in which neighbours are compared.
+HEAD, BLOCK = 8, 64
+_LAST = (1 << 63) - 1
 
 
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` (pos, left, base, and ``by``) with ``rank``: base plus the number of rows of the same base before those equal in ``by``."""
-    rows = materialise(rows, "unranked")
-    placed = numbered(rows, [*by, "pos"], tag="suffixes", rows=rows.count())
-    equal = placed.groupBy(*by).agg(F.min("row_no").alias("start"), F.count("*").alias("size"))
-    equal = equal.withColumn("first", F.min("start").over(Window.partitionBy("base")))
-    out = placed.join(equal, by)
-    return out.select("pos", "left", (F.col("base") + F.col("start") - F.col("first")).alias("rank"), "size", (F.col("base") + F.col("row_no") - F.col("first")).alias("place"))
+def _by_rank(rows: DataFrame, keys: list[str], n: int, tag: str) -> DataFrame:
+    """The distinct ``keys`` of ``rows`` with their position in order (``rank``) and the number of their rows (``alike``)."""
+    return numbered(rows.groupBy(*keys).agg(F.count("*").alias("alike")), keys, tag=tag, rows=n).withColumnRenamed("row_no", "rank").drop("before")
 
 
-def repeated_runs(lines: DataFrame, least: int = 2) -> DataFrame:
-    """(pos, run, cut) for lines (pos, left, id) at which a line that occurs elsewhere stands: ``run`` is the longest run of
-    lines from there that occurs elsewhere too, ``cut`` whether ``least`` lines from there occur earlier.
+def _head(lines: DataFrame) -> DataFrame:
+    """``lines`` (doc, k, pos, left, id) with ``prior``, the id of the line before if it is repeated, and ``head``: the first
+    ``HEAD`` ids; where a line comes that isn't repeated, its place, after all ids, ends them."""
+    w = Window.partitionBy("doc").orderBy("k")
+    at = lambda j: F.first("id").over(w.rangeBetween(j, j))
+    lines = lines.select("*", at(-1).alias("prior"), *(at(j).alias(f"id{j}") for j in range(1, HEAD)))
+    alone = F.coalesce(*(F.when((F.col("left") > j) & F.col(f"id{j}").isNull(), F.lit(j)) for j in range(1, HEAD)))
+    ids = F.array("id", *(f"id{j}" for j in range(1, HEAD)))
+    head = F.slice(ids, F.lit(1), F.least(F.lit(HEAD), F.col("left"), F.coalesce(alone, F.lit(HEAD))).cast("int"))
+    head = F.when(alone.isNull(), head).otherwise(F.concat(head, F.array(F.lit(_LAST), F.col("pos") + alone)))
+    return lines.select("doc", "k", "pos", "left", "id", "prior", head.alias("head"))
 
-    ``pos`` numbers the lines of the corpus, ``left`` counts those of the document from this one on.
-    """
-    # Lines that occur twice, and those that end a run of such lines: no other line's rank is ever asked for.
-    twice = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    again = materialise(lines.join(twice.drop("n"), "id", "left_semi"), "again")
-    ends = again.where("left > 1").select((F.col("pos") + 1).alias("pos"))
-    ends = lines.join(ends, "pos", "left_semi").join(again.select("pos"), "pos", "left_anti")
-    every = again.unionByName(ends).withColumn("base", F.lit(0).cast("long"))
-    level = materialise(_ranked(every, ["base", "id"]), "ranks")
-    levels, ranked, settled, k = [], [], [level.where("size = 1").select("pos", "rank")], 0
+
+def _sorted(lines: DataFrame) -> DataFrame:
+    """The suffix array: ``lines`` with ``ranks``, in which suffixes are ordered (then by ``pos``)."""
+    first = materialise(_head(lines), "heads")
+    names = _by_rank(first, ["head"], first.count(), "ranked")
+    table = first.join(names, "head").select("doc", "k", "pos", "left", "id", "prior", F.array("rank").alias("ranks"), "alike")
+    w, size, done = Window.partitionBy("doc").orderBy("k"), HEAD, []
     while True:
-        active = level.where("size > 1")
-        levels.append(active.select("pos", "rank", "left"))
-        ranked.append(level.where("size > 1") if not k else level)
-        # a group whose members all end here holds equal suffixes; it is split no more
-        going = active.where(f"left > {1 << k}").select("rank").distinct()
-        moving = active.join(going, "rank", "left_semi")
-        if moving.isEmpty():
+        again = (F.col("alike") > 1) & (F.col("left") >= size)
+        ahead = {f"r{j}": F.first("ranks").over(w.rangeBetween(j * size, j * size)) for j in (1, 2, 3)}
+        table = table.withColumn("again", again).withColumn("busy", F.max("again").over(Window.partitionBy("doc")))
+        table = table.select("*", *(c.alias(n) for n, c in ahead.items()))
+        for j in (1, 2, 3):
+            beyond = F.when(F.col("left") <= j * size, F.array(F.lit(-1).cast("long")))
+            table = table.withColumn(f"r{j}", F.when(F.col("again"), F.coalesce(beyond, F.col(f"r{j}"), F.array(F.lit(_LAST), F.col("pos") + j * size))))
+        table = materialise(table.withColumn("rank0", F.element_at("ranks", -1)), "round")
+        kept = ["doc", "k", "pos", "left", "id", "prior", "ranks"]
+        done.append(table.where("not busy").select(*kept))
+        moving, keys = table.where("again"), ["rank0", "r1", "r2", "r3"]
+        n = moving.count()
+        if not n:
             break
-        ended = active.join(going, "rank", "left_anti")
-        settled.append(ended.select("pos", "rank"))
-        known = active.select("pos", "rank")
-        for s in settled[:-1]:
-            known = known.union(s)
-        nexts = known.select((F.col("pos") - (1 << k)).alias("pos"), F.col("rank").alias("second"))
-        rows = moving.select("pos", "left", F.col("rank").alias("base"))
-        rows = rows.join(nexts, "pos", "left").withColumn("second", F.when(F.col("left") > 1 << k, F.col("second")).otherwise(-1))
-        level = materialise(_ranked(rows, ["base", "second"]), "ranks")
-        settled.append(level.where("size = 1").select("pos", "rank"))
-        k += 1
-    # The suffix array of repeated lines: neighbours in it, and their longest common prefixes.
-    places = None  # the last round that ranked a line has its final place
-    for n, t in enumerate(ranked):
-        t = t.select("pos", "place", F.lit(n).alias("n"))
-        places = t if places is None else places.union(t)
-    places = places.groupBy("pos").agg(F.max_by("place", "n").alias("place"))
-    order = materialise(levels[0].withColumnRenamed("rank", "head").join(places, "pos"), "array")
-    before = order.select(F.col("pos").alias("other"), F.col("left").alias("other_left"), (F.col("place") + 1).alias("place"), F.col("head").alias("other_head"))
-    pairs = order.join(before, "place").where("head = other_head").select("pos", "other", "place", F.least("left", "other_left").alias("most"), F.lit(0).cast("long").alias("same"))
-    for j in range(len(levels) - 1, -1, -1):
-        at = levels[j].select("pos", "rank")
-        a = at.select((F.col("pos")).alias("a"), F.col("rank").alias("ra"))
-        b = at.select((F.col("pos")).alias("b"), F.col("rank").alias("rb"))
-        pairs = pairs.withColumn("a", F.col("pos") + F.col("same")).withColumn("b", F.col("other") + F.col("same")).join(a, "a", "left").join(b, "b", "left")
-        longer = (F.col("ra") == F.col("rb")) & (F.col("same") + (1 << j) <= F.col("most"))
-        pairs = pairs.select("pos", "other", "place", "most", F.when(longer, F.col("same") + (1 << j)).otherwise(F.col("same")).alias("same"))
-        pairs = materialise(pairs, "common") if j % 4 == 0 else pairs
-    # Intervals of at least ``least`` common lines: a new one starts where the prefix with the suffix before is shorter.
-    with_before = order.join(pairs.select("place", "same"), "place", "left").withColumn("same", F.coalesce("same", F.lit(0)))
-    with_after = with_before.join(pairs.select((F.col("place") - 1).alias("place"), F.col("same").alias("after")), "place", "left")
-    rows = with_after.select("pos", "place", F.greatest("same", F.coalesce("after", F.lit(0))).alias("run"), F.when(F.col("same") < least, 1).otherwise(0).alias("starts"))
-    rows = materialise(rows, "starts")
-    rows = numbered(rows, ["place"], F.col("starts"), "intervals", rows=rows.count()).withColumn("interval", F.col("before") + F.col("starts"))
-    first = rows.groupBy("interval").agg(F.min("pos").alias("first"))
-    return rows.join(first, "interval").select("pos", "run", ((F.col("pos") > F.col("first")) & (F.col("run") >= least)).alias("cut"))
-
-
-def remove_repeats(docs: DataFrame, least: int = 2, long: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, longest_run, kept_sha256) per row.
+        names = _by_rank(moving, keys, n, "ranked")
+        moved = moving.drop("alike").join(names, keys).select(*kept[:-1], F.concat("ranks", F.array("rank")).alias("ranks"), "alike")
+        table = moved.unionByName(table.where("busy and not again").select(*kept, "alike"))
+        size *= 4
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _shared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(pos, lcp) of ``pairs`` (pos, doc, k, left, ranks, and those of the other suffix as o_...): the lines that they share."""
+    block = F.floor(F.col("k") / BLOCK).cast("long")
+    spread = lines.select("doc", "k", "id", F.explode(F.array(block, block - 1)).alias("block"))
+    cell = F.struct((F.col("k") - F.col("block") * BLOCK).cast("int").alias("at"), "id")
+    blocks = materialise(spread.where("block >= 0").groupBy("doc", "block").agg(F.array_sort(F.collect_list(cell)).alias("cells")), "blocks")
+    n = F.least(F.size("ranks"), F.size("o_ranks"))
+    part = F.array_position(F.zip_with(F.slice("ranks", F.lit(1), n), F.slice("o_ranks", F.lit(1), n), lambda x, y: x == y), F.lit(False))
+    pairs = pairs.withColumn("part", part).withColumn("most", F.least("left", "o_left"))
+    low = F.when(F.col("part") == 0, F.col("most")).when(F.col("part") == 1, 0).otherwise((F.pow(F.lit(4.0), F.col("part") - 2) * HEAD).cast("long"))
+    high = F.when(F.col("part") == 1, HEAD).otherwise(F.col("low") * 4)
+    pairs = pairs.withColumn("low", low.cast("long")).withColumn("high", F.least("most", high))
+    steps = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - 1) / BLOCK)))
+    pairs = pairs.select("pos", "doc", "k", "o_doc", "o_k", "low", "high", F.explode(steps).alias("step"))
+    start = F.col("low") + F.col("step") * BLOCK
+    pairs = pairs.select(
+        "pos", "low", "high", "step", (F.col("k") + start).alias("a"), (F.col("o_k") + start).alias("b"), F.greatest(F.lit(0), F.least(F.lit(BLOCK), F.col("high") - start)).cast("int").alias("n"),
+        F.col("doc").alias("a_doc"), F.col("o_doc").alias("b_doc"),
+    )
+    for side in ("a", "b"):
+        named = blocks.select(F.col("doc").alias(f"{side}_doc"), F.col("block").alias(f"{side}_block"), F.col("cells").alias(f"{side}_cells"))
+        pairs = pairs.withColumn(f"{side}_block", F.floor(F.col(side) / BLOCK).cast("long")).join(named, [f"{side}_doc", f"{side}_block"], "left")
+
+    def cut(side: str) -> Column:
+        at = (F.col(side) - F.col(f"{side}_block") * BLOCK).cast("int")
+        inside = F.filter(f"{side}_cells", lambda c: (c["at"] >= at) & (c["at"] < at + F.col("n")))
+        return F.transform(inside, lambda c: F.struct((c["at"] - at).alias("at"), c["id"].alias("id")))
+
+    pairs = pairs.select("pos", "low", "high", "step", "n", cut("a").alias("x"), cut("b").alias("y"))
+    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce((F.get("x", i) == F.get("y", i)) & (F.get("x", i)["at"] == i), F.lit(False)))
+    here = F.when(F.col("n") == 0, 0).otherwise(F.array_position(equal, F.lit(False)) - 1)
+    ends = F.when(F.col("n") == 0, F.col("low")).when(here >= 0, F.col("low") + F.col("step") * BLOCK + here)
+    return pairs.groupBy("pos").agg(F.coalesce(F.min(ends), F.max("high")).alias("lcp"))
+
+
+def repeated_runs(lines: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """For ``lines`` (doc, k, pos, left, id), those that occur twice or more: (doc, k) of the places at which ``least`` lines
+    begin that occur earlier too, and (doc, longest_run) with the longest run of a document's lines that occurs elsewhere.
+
+    ``pos`` numbers the lines of the corpus, ``k`` those of the document, and ``left`` counts those from this one on.
+    """
+    array = _sorted(lines)
+    array = materialise(numbered(array, ["ranks", "pos"], tag="array", rows=lines.count()).withColumnRenamed("row_no", "place").drop("before"), "array")
+    shown = ["doc", "k", "pos", "left", "id", "prior", "ranks"]
+    other = array.select((F.col("place") + 1).alias("place"), *(F.col(c).alias(f"o_{c}") for c in shown))
+    pairs = materialise(array.join(other, "place").where("id = o_id").drop("id", "o_id"), "neighbours")
+    fresh = ~F.coalesce(F.col("prior") == F.col("o_prior"), F.lit(False))
+    known = _shared(pairs.where(fresh), lines)
+    # the pair before in the document, less one line for each line since
+    w = Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = pairs.select("pos", "o_doc", fresh.alias("fresh"))
+    rows = array.select("place", "doc", "k", "pos").join(near, "pos", "left").join(known, "pos", "left")
+    given = F.when(F.col("o_doc").isNull(), F.lit(0)).when(F.col("fresh"), F.col("lcp"))
+    rows = rows.withColumn("given", F.when(given.isNotNull(), F.struct(given.cast("long").alias("lcp"), F.col("k").alias("k"))))
+    rows = rows.withColumn("given", F.last("given", ignorenulls=True).over(w))
+    rows = rows.select("place", "doc", "k", "pos", "o_doc", (F.col("given.lcp") - F.col("k") + F.col("given.k")).alias("lcp"))
+    rows = materialise(rows.withColumn("starts", F.when(F.col("lcp") < least, 1).otherwise(0)), "prefixes")
+    longest = rows.select("doc", "lcp").union(rows.where("o_doc is not null").select("o_doc", "lcp")).groupBy("doc").agg(F.max("lcp").alias("longest_run"))
+    spans = numbered(rows, ["place"], F.col("starts"), "intervals", rows=rows.count()).withColumn("interval", F.col("before") + F.col("starts"))
+    first = spans.groupBy("interval").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return spans.join(first, "interval").where("pos > first").select("doc", "k"), longest
+
+
+def remove_repeats(docs: DataFrame, least: int = 2, long: int | None = None, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+    """(id, n_lines, n_removed, longest_run, kept_sha256) per row, and with ``texts`` the kept lines as ``kept_text``.
 
     Lines are parts of the text between line feeds; those without a word are neither counted nor compared, and stay.
     A line goes if it lies in a run of ``least`` lines that occurs earlier too: in a row with a smaller id, or earlier in
-    the same text.  Given ``long``, a line of more words than that goes also if it occurs earlier by itself.  ``longest_run`` is the longest run of the row's lines that occurs elsewhere.  A null text has no lines and
-    keeps the empty text.  Rows without an id come last, ordered by their texts' hashes; rows equal in id and text are one
-    document and give the same result each.  An empty table gives no rows.
+    the same text.  Given ``long``, a line of more words than that goes also if it occurs earlier by itself.  Lines are compared by
+    128 bits of hashes.  ``longest_run`` is the longest run of the row's lines that occurs elsewhere.  A null text has no lines
+    and keeps the empty text.  Ids are whole numbers.  Rows without an id come last, ordered by their texts' hashes; rows equal in id
+    and text are one document and give the same result each.  An empty table gives no rows.
     """
-    key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    parts = F.expr(f"filter(transform(split(text, '\n'), (x, k) -> struct(k as line, x as words)), x -> x.words rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    parts = F.expr(f"filter(split(text, '\n'), x -> x rlike '{_WORD.replace(chr(92), chr(92) * 2)}')")
     # more than ``long`` words take twice as many characters at least
     wordy = lambda x: F.lit(False) if long is None else F.when(F.length(x) > 2 * long, F.regexp_count(x, F.lit(f"{_WORD}+")) > long).otherwise(False)
-    hashed = F.transform(parts, lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["words"], F.length(p["words"])).alias("hash"), wordy(p["words"]).alias("long")))
-    base = materialise(rows.select("id", "tie", hashed.alias("parts")), "hashed")
-    base = base.dropDuplicates(["id", "tie"]).withColumn("n_lines", F.size("parts").cast("long")).where("n_lines > 0")
-    # Documents of the same lines: the first stands for all in the array, and the others lose what they have.
-    same = F.transform("parts", lambda p: p["hash"])
-    whole = materialise(base.select("id", "tie", "n_lines", F.xxhash64(same).alias("s1"), F.xxhash64(F.reverse(same), "n_lines").alias("s2")), "whole")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
-    groups = whole.groupBy("s1", "s2").agg(F.min(place).alias("own"), F.count("*").alias("copies")).where("copies > 1")
-    copies = whole.join(groups, ["s1", "s2"]).select(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"), F.when(place == F.col("own"), 0).otherwise(1).alias("later"))
-    copies = materialise(copies, "copies")
-    marked = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tie") == F.col("c_tie"))
-    lines = base.join(small(copies.where("later = 1")), marked, "left_anti")
-    lines = lines.select("id", "tie", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("part is not null")
-    lines = lines.select("id", "tie", "n_lines", F.col("part.line").alias("line"), (F.col("n_lines") - F.col("k")).alias("left"), F.col("part.hash").alias("hash"), F.col("part.long").alias("long"))
+    hashed = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), wordy(x).alias("long")))
+    base = rows.select("id", "tie", hashed.alias("parts")).withColumn("n_lines", F.size("parts").cast("long"))
+    order = [F.col("id").isNull().alias("unnamed"), "id", "tie"]
+    base = base.select(order[0], "id", "tie", "n_lines", "parts")
+    base = materialise(numbered(base, ["unnamed", "id", "tie"], F.col("n_lines"), "documents", once=True).withColumnRenamed("before", "doc").where("n_lines > 0"), "placed")
+    lines = base.select("doc", "n_lines", F.posexplode_outer("parts").alias("k", "part")).where("k is not null")
+    lines = lines.select("doc", F.col("k").cast("long").alias("k"), (F.col("n_lines") - F.col("k")).alias("left"), "part.*")
+    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = materialise(twice.withColumn("id", F.monotonically_increasing_id()), "repeated")
+    lines = lines.join(twice, ["h1", "h2"]).select("doc", "k", (F.col("doc") + F.col("k")).alias("pos"), "left", "id", "long")
     lines = materialise(lines, "lines")
-    placed = numbered(lines, [F.col("id").asc_nulls_last(), "tie", "line"], tag="numbered", rows=lines.count())
-    placed = materialise(placed.withColumnRenamed("row_no", "pos").drop("before"), "placed")
-    runs = materialise(repeated_runs(placed.select("pos", "left", F.col("hash").alias("id")), least), "runs")
-    gone = runs.where("cut").select(F.explode(F.sequence("pos", F.col("pos") + least - 1)).alias("pos"))
+    starts, longest = repeated_runs(lines.drop("long"), least)
+    gone = starts.select("doc", F.explode(F.sequence("k", F.col("k") + least - 1)).alias("k"))
     if long is not None:
-        alone = placed.where("long").select("pos", "hash")
-        first = alone.groupBy("hash").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-        gone = gone.union(alone.join(small(materialise(first, "long")), "hash").where("pos > first").select("pos"))
-    gone = gone.distinct().withColumn("gone", F.lit(True))
-    marks = placed.join(runs.select("pos", "run"), "pos", "left").join(gone, "pos", "left")
-    marks = marks.groupBy(F.col("id").alias("i"), F.col("tie").alias("t")).agg(
-        F.max("n_lines").alias("n_lines"),
-        F.count("gone").alias("n_removed"),
-        F.coalesce(F.max("run"), F.lit(0)).alias("longest_run"),
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("cut"),
-    )
-    # copies: their lines all occur earlier, as one run
-    alike = copies.join(base.select("id", "tie", "n_lines", "parts"), marked)
-    gone_too = F.filter("parts", lambda p: (F.col("n_lines") >= least) | p["long"])
-    alike = alike.select("c_id", "c_tie", "later", F.col("n_lines").alias("all"), F.when(F.col("later") == 1, F.transform(gone_too, lambda p: p["line"])).otherwise(F.array().cast("array<int>")).alias("out"))
-    pair = F.col("i").eqNullSafe(F.col("c_id")) & (F.col("t") == F.col("c_tie"))
-    marks = marks.join(alike, pair, "full").select(
-        F.when(F.col("t").isNull(), F.col("c_id")).otherwise(F.col("i")).alias("i"),
-        F.coalesce("t", "c_tie").alias("t"),
-        F.coalesce("n_lines", "all").alias("n_lines"),
-        F.when(F.col("later") == 1, F.size("out")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
-        F.greatest("longest_run", F.coalesce("all", F.lit(0))).alias("longest_run"),
-        F.when(F.col("later") == 1, F.col("out")).otherwise(F.col("cut")).alias("cut"),
-    )
-    marks = materialise(marks, "marks")
-    out = rows.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left")
-    kept = F.expr("concat_ws('\n', filter(split(text, '\n'), (x, k) -> not array_contains(cut, k)))")
-    kept = F.when(F.coalesce("n_removed", F.lit(0)) == 0, F.col("text")).otherwise(kept)
-    zero = F.lit(0).cast("long")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("longest_run", zero).alias("longest_run"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+        first = lines.where("long").groupBy("id").agg(F.min("pos").alias("first"))
+        gone = gone.union(lines.where("long").join(first, "id").where("pos > first").select("doc", "k"))
+    marks = gone.groupBy("doc").agg(F.array_sort(F.collect_set("k")).alias("cut")).join(longest, "doc", "right")
+    marks = materialise(base.select("id", "tie", "doc").join(marks, "doc").select(F.col("id").alias("i"), F.col("tie").alias("t"), "cut", "longest_run"), "marks")
+    found = rows.join(marks, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile("[^ \t-\r]")
+        for b in batches:
+            counts, removed, shas, kept = [], [], [], []
+            for text, cut in zip(b.column(1), b.column(2), strict=True):
+                parts, gone, n, stay = text.as_py().split("\n"), set(cut.as_py() or ()), 0, []
+                for x in parts:
+                    real = word.search(x) is not None
+                    if not real or n not in gone:
+                        stay.append(x)
+                    n += real
+                counts.append(n)
+                removed.append(len(parts) - len(stay))
+                kept.append("\n".join(stay))
+                shas.append(hashlib.sha256(kept[-1].encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), b.column(3), pa.array(shas, pa.string()), *([pa.array(kept, pa.string())] if texts else [])],
+                ["id", "n_lines", "n_removed", "longest_run", "kept_sha256", *(["kept_text"] if texts else [])],
+            )
+
+    schema = "id long, n_lines long, n_removed long, longest_run long, kept_sha256 string" + (", kept_text string" if texts else "")
+    return map_batches(found.select("id", "text", "cut", F.coalesce("longest_run", F.lit(0).cast("long")).alias("longest_run")), run, schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already, so that helper columns never clash with its own."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small(table: DataFrame, rows: int = 1 << 19) -> DataFrame:
     """A written table of narrow rows, to be broadcast if it has at most ``rows`` of them, and else joined by a shuffle."""
     return F.broadcast(table) if table.count() <= rows else table.hint("merge")
@@ -76,11 +88,12 @@ def small(table: DataFrame, rows: int = 1 << 19) -> DataFrame:
 RANGE = 1 << 18
 
 
-def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None, rows: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None, rows: int | None = None, once: bool = False) -> DataFrame:
     """Add ``row_no`` (0-based position in ``order``) and, given ``value``, ``before`` (its sum over earlier rows).
 
     Rows are dealt into contiguous ranges and written once, so that a range keeps its number; the totals
-    of the ranges (one row each) are summed, and each range adds its own running sums.
+    of the ranges (one row each) are summed, and each range adds its own running sums.  With ``once``, one of the rows
+    equal in ``order`` (then names of columns) is taken.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if rows is not None:  # fewer ranges for small tables
@@ -90,15 +103,19 @@ def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", part
         df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()),
         tag,
     )
+    w = Window.partitionBy("_range").orderBy(*order)
+    if once:
+        same = [F.col(c).eqNullSafe(F.lag(c).over(w)) for c in order]
+        again = F.row_number().over(w) > 1
+        for x in same:
+            again = again & x
+        ranged = ranged.withColumn("_again", again).where("not _again").drop("_again")
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.sum("_value").alias("_sum"))
     totals = totals.selectExpr(
         "_range",
         "sum(_n) over (order by _range) - _n as _n_before",
         "sum(_sum) over (order by _range) - _sum as _sum_before",
     )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_range").orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.withColumn("_k", F.row_number().over(w)).withColumn("_run", F.sum("_value").over(run))
     out = out.join(totals, "_range")

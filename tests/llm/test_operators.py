@@ -358,6 +358,43 @@ def test_extract_pages(spark):
     assert extract.extract_text("<div>" * 3000 + "deep " + "</div>" * 3000, extract.Weights()) == "deep"
 
 
+def test_extract_by_scores_alone(spark):
+    w = extract.Weights()
+    text = "word " * 200
+    for page in (f'<div class="content has-sidebar"><p>{text}</div>', f'<section id="search-article">{text}</section>', f'<body class="with-footer">{text}'):
+        assert extract.extract_text(page, w).split() == text.split()
+    assert extract.extract_text("<main><article>" + "one " * 90 + "</article><article>" + "two " * 80 + "</article></main>", w).split() == ["one"] * 90 + ["two"] * 80
+    page = f'<nav>menu</nav><p>Head<div class="cookie-notice">{"we use " * 50}</div><p>mid<form>send it</form><p>end<section id="comments">{text}</section><aside>x</aside>'
+    assert extract.extract_text(page, w) == "Head mid end"
+    long = "<p>" + "many words here " * 100_000 + "</p>"
+    assert len(extract.extract_text(f"<nav>{long}</nav>{long}", w).split()) == 300_000
+
+
+def test_region_against_all_regions():
+    rnd = random.Random(3)
+    for n in [0, 1, *range(2, 40)]:
+        v = [rnd.choice([-3, -1, -1, 0, 1, 2]) for _ in range(n)]
+        sums = {(a, b): sum(v[a:b]) for a in range(n) for b in range(a + 1, n + 1)}
+        a, b = extract.region(v)
+        assert sum(v[a:b]) == max([0, *sums.values()])
+
+
+def test_weights_fitted_on_pages_hold_on_others():
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randrange(999)}" for _ in range(n))
+
+    def page():
+        junk = [f'<div class="zz-teaser box">{say(rnd.randrange(5, 90))}</div>' for _ in range(rnd.randrange(1, 6))]
+        mid = rnd.randrange(len(junk) + 1)
+        body = "".join(f'<div class="box para"><p>{say(rnd.randrange(10, 60))}</p></div>' for _ in range(rnd.randrange(1, 5)))
+        return f"<html><body>{''.join(junk[:mid])}<article>{body}</article>{''.join(junk[mid:])}</body></html>"
+
+    pages = [page() for _ in range(180)]
+    cases = [extract.labelled(p) for p in pages[120:]]
+    assert extract.accuracy(cases, extract.fit(pages[:120])) == 60 and extract.accuracy(cases, extract.Weights()) < 15
+    assert extract.fit([]) == extract.fit(["<p>x"]) == extract.Weights()
+
+
 def test_decontamination(docs, odd, empty, items):
     known = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
     got = by_id(decontam.contamination(docs, items.where("item_id is not null")))
@@ -376,11 +413,28 @@ def test_decontamination(docs, odd, empty, items):
 def test_winnowing_keeps_one_gram_of_each_window():
     h = np.random.default_rng(1).integers(0, 1 << 63, 300, dtype=np.uint64)
     first = np.array([0, 120, 125, 300])
-    start, least, _ = decontam.winnow(h, first, 10, 5)
-    at, gram = words.windows(h, first, 5)
-    assert len(start) == 111 + 166
-    for s, m in zip(start, least, strict=True):
-        assert m == min(gram[(at >= s) & (at <= s + 5)])
+    for k in (5, 8, 10):
+        kept, least, _ = decontam.winnow(h, first, 10, k)
+        at, gram = words.windows(h, first, k)
+        want = {}
+        for s in [*range(111), *range(125, 291)]:
+            inside = np.flatnonzero((at >= s) & (at <= s + 10 - k))
+            best = inside[len(inside) - 1 - int(np.argmin(gram[inside][::-1]))]
+            want[int(at[best])] = gram[best]
+        assert dict(zip(kept.tolist(), least, strict=True)) == want and (k == 10) == (len(kept) == 277)
+
+
+def test_hits_are_extended(spark):
+    rnd = random.Random(4)
+    say = lambda n: [rnd.choice("abc") for _ in range(n)]
+    item = say(40)
+    texts = [say(9) + item[a : a + n] + say(9) for a in range(0, 30, 3) for n in range(8, 14)] + [item * 3, item[:9], item[:10], say(2000)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    known = [(1, " ".join(item)), (2, " ".join(item[5:30])), (3, "a b"), (4, " ".join(say(12))), (5, " ".join(item))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (4, 8, 10):
+        got = decontam.contamination(df, spark.createDataFrame(known, "item_id long, text string"), k=k)
+        assert by_id(got) == by_id_rows(brute.contamination(rows, known))
 
 
 def test_line_runs(docs, odd, empty):
@@ -390,6 +444,21 @@ def test_line_runs(docs, odd, empty):
     assert linededup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("head, block", [(8, 64), (2, 3)])
+def test_line_runs_of_many_rounds(spark, monkeypatch, head, block):
+    monkeypatch.setattr(linededup, "HEAD", head)
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rnd = random.Random(head)
+    long = [rnd.choice("abcdefgh") * 3 + str(rnd.randrange(40)) for _ in range(300)]
+    texts = [long, long[40:290], ["x"] * 150, ["x"] * 70 + ["y"], long[:120] + ["z"] + long[121:], ["own 1", *long[200:], "own 2"], [], ["x", "own 3", "x"]]
+    texts += [long[a : a + rnd.randrange(1, 40)] + rnd.sample(long, 5) for a in range(0, 250, 25)] + [texts[1]] * 3
+    rows = [(k, "\n".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, x, "", "", 0, 0, 0, "") for i, x in rows], SCHEMA).repartition(3)
+    got = linededup.remove_repeats(df, texts=True)
+    assert by_id(got.drop("kept_text")) == by_id_rows(brute.lines(rows))
+    assert all(brute.sha(r.kept_text) == r.kept_sha256 for r in got.collect())
+
+
 def test_long_lines_that_repeat_alone_go(spark):
     line = " ".join(f"w{k}" for k in range(60))
     short = " ".join(f"w{k}" for k in range(50))
