@@ -120,7 +120,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _placed(docs: DataFrame, share: float, most: int, seed: int, id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
-    """Rows (with all columns of ``docs`` if ``carry``) with the number of times that each is taken."""
+    """Rows (with all columns of ``docs`` in ``_row`` if ``carry``) with the number of times that each is taken."""
     spark = docs.sparkSession
     rows = docs.select(*(c.alias(n) for c, n in zip(_measures(docs, id_col, text_col, source_col, seed), ("id", "source", "size", "hash", "range"), strict=True)))
     rows = materialise(rows, "sizes")
@@ -145,7 +145,7 @@ def _placed(docs: DataFrame, share: float, most: int, seed: int, id_col: str, te
     cuts = ranges.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).where("before < quota and before + n >= quota")
     cuts = small(materialise(cuts.select(F.col("s").alias("_s"), F.col("z").alias("_z"), F.col("range").alias("_cut"), (F.col("quota") - F.col("before")).alias("_free"), F.col("n").alias("_n")), "cuts"))
     plan = plan.select(F.col("source").alias("_p"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("passes").alias("_passes"))
-    full = docs.select("*", *_measures(docs, id_col, text_col, source_col, seed)) if carry else rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+    full = docs.select(F.struct("*").alias("_row"), *_measures(docs, id_col, text_col, source_col, seed)) if carry else rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
     placed = full.join(cuts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left")
     ranked = (F.col("_range") == F.col("_cut")) & (F.col("_free") < F.col("_n"))
     others = placed.where(~F.coalesce(ranked, F.lit(False))).withColumn("_extra", F.when(F.col("_range") <= F.col("_cut"), 1).otherwise(0))
@@ -176,4 +176,4 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_c
 def mixed_rows(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it."""
     out = _placed(docs, share, most, seed, id_col, text_col, source_col, carry=True)
-    return out.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*docs.columns)
+    return out.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select("_row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
 from ledgerloom.llm.components import components
-from ledgerloom.llm.store import map_batches, materialise, small
+from ledgerloom.llm.store import free, map_batches, materialise, small
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
 
     ``component_id`` is the smallest id reachable, the row's own included.  A null or blank text has fingerprint zero,
     which links like any other.  Rows without an id link others, but only ids name a component: it is null if no row
-    of it has one (ids are taken to be below 2**62).  Repeated rows and ids give as many rows; an empty table none.
+    of it has one (ids are whole numbers below 2**62).  Repeated rows and ids give as many rows; an empty table none.
     """
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "prints")
     nodes = prints.groupBy("print").agg(F.min(id_col).alias("node"))
@@ -366,7 +366,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack:
     is cut in salted parts, tested each with a text of every other part; where that leaves several components, every
     pair of parts is a cell of its own.
 
-    Blank texts are copies of each other; texts of fewer words than a shingle are one shingle.  Of rows of one id, one stays.
+    Ids are whole numbers.  Blank texts are copies of each other; texts of fewer words than a shingle are one shingle.  Of rows of one id, one stays.
     Rows without an id link others but always stay, since nothing tells which of them to keep.
     """
 
@@ -415,9 +415,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack:
     kept = materialise(named.groupBy("root").agg(F.min("id").alias("keep"), F.max("id").alias("last")).where("keep < last").drop("last"), "kept")
     gone = named.join(small(kept), "root", "left").groupBy("id").agg(F.min(F.col("id") > F.coalesce("keep", "id")).alias("gone"), F.count("*").alias("rows"))
     gone = materialise(gone.where("gone or rows > 1"), "gone")
-    out = docs.join(small(gone.select(F.col("id").alias("_gone"))), docs[id_col] == F.col("_gone"), "left_anti")
-    twice = gone.where("not gone").select(F.col("id").alias("_gone"))
+    (name,) = free(docs, "gone")
+    out = docs.join(small(gone.select(F.col("id").alias(name))), docs[id_col] == F.col(name), "left_anti")
+    twice = gone.where("not gone").select(F.col("id").alias(name))
     if twice.isEmpty():
         return out
-    again = docs.join(twice, docs[id_col] == F.col("_gone"), "left_semi")
+    again = docs.join(twice, docs[id_col] == F.col(name), "left_semi")
     return out.unionByName(again.dropDuplicates([id_col]))

@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
 
     A word goes if a window of ``n`` words over it starts earlier too: in a row with a smaller id, or earlier in the
     same text.  Windows are those of the input.  A null, blank or short text keeps all its words (the hash of no words
-    is that of the empty string).  Rows without an id come after all ids, in an order that their texts fix; rows of one
+    is that of the empty string).  Ids are whole numbers below 2**62.  Rows without an id come after all ids, in an order that their texts fix; rows of one
     id are ordered by text, and of equal rows one counts as the first.  An empty table gives no rows.
     """
     spark = docs.sparkSession

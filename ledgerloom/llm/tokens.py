@@ -414,7 +414,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id
     """Encode whole texts in ascending order of their ids and write the segments; returns the files as read back:
     (part, number, n_docs, n_ids, segment binary), in order of part and number.
 
-    A null text is empty.  Rows without an id come last, rows of one id are ordered by text; an empty table gives no files' rows.
+    A null text is empty.  Ids are whole numbers.  Rows without an id come last, rows of one id are ordered by text; an empty table gives no files' rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

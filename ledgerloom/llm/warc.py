@@ -3,13 +3,14 @@
 Each record of an archive is hashed; records in order, with the byte range that each takes, are the leaves of a tree whose
 nodes hash up to ``FAN`` children with the range they span.  Two replicas are compared by their roots.  Where these differ,
 the audit goes down one level at a time, joining only the children of nodes that differ, so that the work follows the
-damage and not the archive; a tree of n records has log(n) / log(FAN) levels, each a small table.
+damage and not the archive; a tree of n records has log(n) / log(FAN) levels, each a small table.  Nodes are compared by their
+number, as replicas of an archive hold the same records in the same order: one that lacks a record differs in all that follow.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,14 +34,22 @@ def record(uri: Column, number: Column, payload: Column) -> Column:
     )
 
 
+def _named(order: list[str]) -> list[str]:
+    """The names of the order columns beside those of a leaf."""
+    return [f"record_{c}" if c in ("node", "start", "end", "hash", "replica_hash", "damaged") else c for c in order]
+
+
 def leaves(records: DataFrame, order: list[str], record_col: str = "record") -> DataFrame:
     """(order columns, node, start, end, hash) of each record: its number, byte range and sha256, in ``order``.
 
-    Rows equal in ``order`` are ordered by their hashes.  A null record is empty."""
+    Rows equal in ``order`` are ordered by their hashes.  A null record is empty.  An order column named as one of the others
+    becomes ``record_`` and its name."""
     body = F.coalesce(F.col(record_col).cast("binary"), F.lit(b""))
-    rows = materialise(records.select(*order, F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("hash")), "records")
-    rows = numbered(rows, [*(F.col(c).asc_nulls_last() for c in order), F.col("hash")], F.col("size"), "leaves")
-    return materialise(rows.select(*order, F.col("row_no").alias("node"), F.col("before").alias("start"), (F.col("before") + F.col("size")).alias("end"), "hash"), "leaves")
+    keys = [f"by{k}" for k in range(len(order))]
+    rows = records.select(*(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("hash"))
+    rows = numbered(materialise(rows, "records"), [*(F.col(k).asc_nulls_last() for k in keys), F.col("hash")], F.col("size"), "leaves")
+    rows = rows.select(*(F.col(k).alias(c) for c, k in zip(_named(order), keys, strict=True)), F.col("row_no").alias("node"), F.col("before").alias("start"), (F.col("before") + F.col("size")).alias("end"), "hash")
+    return materialise(rows, "leaves")
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -83,39 +92,88 @@ def fixity(records: DataFrame, replica: DataFrame, order: list[str], record_col:
     wrong = audit(tree(mine), tree(other)).select("node", "theirs", F.lit(True).alias("damaged"))
     out = mine.join(wrong, "node", "left")
     damaged = F.coalesce("damaged", F.lit(False))
-    return out.select(*order, "node", "start", "end", "hash", F.when(damaged, F.col("theirs")).otherwise(F.col("hash")).alias("replica_hash"), damaged.alias("damaged"))
+    return out.select(*_named(order), "node", "start", "end", "hash", F.when(damaged, F.col("theirs")).otherwise(F.col("hash")).alias("replica_hash"), damaged.alias("damaged"))
 
 
 _LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)")
 
 
-def parse(raw: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(offset, length, header, payload) of each record of a WARC file's bytes (plain, or gzip members)."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def _members(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file in pieces, unzipped if it is gzip (members one after the other)."""
+    if raw[:2] != b"\x1f\x8b":
+        for at in range(0, len(raw), step):
+            yield raw[at : at + step]
+        return
     at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        head = raw.find(b"\r\n\r\n", at)
-        if head < 0:
-            return
-        m = _LENGTH.search(raw, at, head + 2)
-        size = int(m[1]) if m else 0
-        stop = min(head + 4 + size, len(raw))
-        end = stop + 4 if raw[stop : stop + 4] == b"\r\n\r\n" else stop
-        yield at, end - at, raw[at:head].decode("utf-8", "replace"), raw[head + 4 : stop]
-        at = end
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, length, uri, header, payload binary) of the records of WARC files."""
+    while at < len(raw):
+        unzip = zlib.decompressobj(31)
+        while at < len(raw) and not unzip.eof:
+            piece = raw[at : at + step]
+            at += len(piece)
+            yield unzip.decompress(piece)
+        at -= len(unzip.unused_data)
+
+
+def parse(raw: bytes) -> Iterator[tuple[int, int, str, bytes, bool]]:
+    """(offset, length, header, payload, whole) of each record of a WARC file's bytes (plain, or gzip members), of which only the
+    current record is held unzipped.  A record that is cut short isn't ``whole``; bytes between records are passed over."""
+    held, base, pieces = bytearray(), 0, _members(raw)
+
+    def more(size: int) -> bool:
+        while len(held) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while (begin := held.find(b"WARC/")) < 0:
+            gone = max(0, len(held) - 4)
+            del held[:gone]
+            base += gone
+            if not more(len(held) + 1):
+                return
+        del held[:begin]
+        base += begin
+        while (head := held.find(b"\r\n\r\n")) < 0:
+            if not more(len(held) + 1):
+                yield base, len(held), held.decode("utf-8", "replace"), b"", False
+                return
+        m = _LENGTH.search(held, 0, head + 2)
+        stop = head + 4 + (int(m[1]) if m else 0)
+        whole = more(stop) and m is not None
+        more(stop + 4)
+        end = min(stop, len(held))
+        end += 4 if held[end : end + 4] == b"\r\n\r\n" else 0
+        yield base, end, held[:head].decode("utf-8", "replace"), bytes(held[head + 4 : stop]), whole
+        del held[:end]
+        base += end
+
+
+def read_warc(spark: SparkSession, path: str, batch_bytes: int = 16 << 20) -> DataFrame:
+    """(path, offset, length, uri, header, payload binary, whole) of the records of WARC files, of up to 2 GB each as they are stored.
+
+    Records go on in batches of about ``batch_bytes``."""
+    names = ["path", "offset", "length", "uri", "header", "payload", "whole"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "offset", "length", "uri", "header", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for b in batches:
             for where, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(where, at, size, (re.search(r"(?im)^WARC-Target-URI:[ \t]*(.*?)\r?$", head) or [None, None])[1], head, payload) for at, size, head, payload in parse(raw.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
+                rows, size = [], 0
+                for at, length, head, payload, whole in parse(raw.as_py()):
+                    uri = re.search(r"(?im)^WARC-Target-URI:[ \t]*(.*?)\r?$", head)
+                    rows.append((where, at, length, uri and uri[1], head, payload, whole))
+                    size += length
+                    if size >= batch_bytes:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_batches(files, run, "path string, offset long, length long, uri string, header string, payload binary")
+    return map_batches(files, run, "path string, offset long, length long, uri string, header string, payload binary, whole boolean")

@@ -563,7 +563,10 @@ def test_warc_audit(spark):
     assert warc.fixity(make(pages), make(pages.where("page_id < 200")), ["page_id"]).where("damaged").count() == 100
     raw = b"".join(bytes(r.record) if isinstance(r.record, bytearray) else r.record.encode() for r in make(pages.where("page_id < 20")).orderBy("page_id").collect())
     parsed = list(warc.parse(raw))
-    assert sum(n for _, n, _, _ in parsed) == len(raw) and parsed[1][3] == b"x"
+    assert sum(r[1] for r in parsed) == len(raw) and parsed[1][3] == b"x" and all(r[4] for r in parsed)
+    named = pages.select(F.col("page_id").alias("node"), F.col("page_id").alias("hash"), "html", F.lit(1).alias("start"))
+    got = warc.fixity(named.withColumnRenamed("html", "record"), named.withColumnRenamed("html", "record"), ["node", "hash"])
+    assert got.columns == ["record_node", "record_hash", "node", "start", "end", "hash", "replica_hash", "damaged"] and got.count() == 301
 
 
 def test_read_warc(spark, tmp_path):
@@ -573,4 +576,21 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(one * 2)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one))
     got = warc.read_warc(spark, f"file://{tmp_path}").collect()
-    assert len(got) == 3 and {(r.uri, bytes(r.payload)) for r in got} == {("http://a", b"abc")}
+    assert len(got) == 3 and {(r.uri, bytes(r.payload)) for r in got} == {("http://a", b"abc")} and all(r.whole for r in got)
+    big = [one.replace(b"Length: 3", f"Length: {n}".encode()).replace(b"abc", b"z" * n) for n in (3, 2_500_000, 7)]
+    for raw in (b"".join(big), b"".join(map(gzip.compress, big)), b"junk" + gzip.compress(b"")[:0] + b"".join(big)):
+        parsed = list(warc.parse(raw))
+        assert [len(r[3]) for r in parsed] == [3, 2_500_000, 7] and all(r[4] for r in parsed)
+    cut = list(warc.parse(one + one.replace(b"Length: 3", b"Length: 30")))
+    assert [r[4] for r in cut] == [True, False] and list(warc.parse(b"")) == [] and not list(warc.parse(one[:40]))[0][4]
+
+
+def test_clashing_names(spark, docs, items):
+    odd = docs
+    for c in ("_id", "_source", "_size", "_hash", "_range", "_times", "_copy", "_row", "gone", "_gone", "bad_id", "bad_hash", "_bad_id", "uid", "id", "kin", "doc", "pos", "cut", "tie", "_value"):
+        odd = odd.selectExpr("*", f"'{c}' as {c}")
+    for one in (mixture.mixed_rows, simhash.keep_one, quality.keep, lambda d: decontam.keep_clean(d, items)):
+        got, want = one(odd), one(docs)
+        assert got.columns == odd.columns and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    for one in (shards.shard, mixture.mix, simhash.near_duplicates, quality.measure, spans.remove_repeats, linededup.remove_repeats, lambda d: decontam.contamination(d, items), lambda d: tokens.digest(tokens.write_tokens(d, PATH))):
+        assert one(odd).count() == docs.count()
