@@ -17,12 +17,8 @@ from pyspark.sql.types import StringType
 
 from ledgerloom.functions import vocabulary as V
 
-PHONE = r"(?:\+?\d{1,3}[\s-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.-]?)\d{3}[\s.-]?\d{4}\b|\b\d{10,12}\b"
-DOMAIN = r"^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:com|net|org|co\.in|in|co|fr|io|biz|us|info)\b.*$"
+PHONE, DOMAIN = V.PHONE, V.DOMAIN
 LEGAL = r"\b(" + "|".join(V.legal_forms()) + r")\b"
-PRIVATE_LIMITED = r"\bp[a-z]{1,5}v[a-z]{1,4}\s+l[a-z]{0,2}m[a-z]{2,6}\b|\bpra\s+li\b"
-POSTCODES = {"US": r"\b(\d{5})(?:-\d{4})?\b", "India": r"\b(\d{3}\s?\d{3})\b", "France": r"\b(\d{5})\b", "": r"\b(\d{4,6})\b"}
-HOUSE = r"^(\d+[a-z]?(?:[/-]\d+[a-z]?)*)\b"
 
 
 def replace(c: Column, *rules: tuple[str, str]) -> Column:
@@ -91,8 +87,7 @@ def repair(text: str) -> str:
             return unicodedata.normalize("NFKC", text.encode(encoding).decode("utf-8"))
         except UnicodeError:
             continue
-    marks = {"\x98": "'", "\x99": "'", "\x93": "-", "\x94": "-", "\x9c": '"', "\x9d": '"'}
-    text = re.sub(r"[ÂÃâ]?[\x80-\x9f]+", lambda m: marks.get(m[0][-1], " "), text)
+    text = re.sub(V.STRAY, lambda m: V.MARKS.get(m[0][-1], " "), text)
     return unicodedata.normalize("NFKC", text)
 
 
@@ -147,7 +142,7 @@ def name_text(c: Column) -> Column:
             (DOMAIN, "$1"),
             (PHONE, " "),
             (r"\s-\s*$|^\s*-+\s", " "),
-            (r"\((?:india|usa?|france|uk)\)", " "),
+            (V.COUNTRY_TAGS, " "),
             ("&", " and "),
             (r"\+", " plus "),
             (r"'s\b", "s"),
@@ -159,7 +154,7 @@ def name_text(c: Column) -> Column:
 
 def private_limited(c: Column) -> Column:
     """Transliterated spellings of "private limited" in one."""
-    return F.regexp_replace(c, PRIVATE_LIMITED, "private limited")
+    return F.regexp_replace(c, V.PRIVATE_LIMITED, "private limited")
 
 
 def legal_form(text: Column) -> Column:
@@ -180,7 +175,7 @@ def name_norm(text: Column) -> Column:
 
 def name_core(text: Column) -> Column:
     """A cleaned name without legal forms and words that identify nothing."""
-    stop = F.array(*[F.lit(w) for w in V.NAME_STOPWORDS.split()])
+    stop = F.array(*[F.lit(w) for w in V.NAME_STOPWORDS])
     words = F.split(squash(F.regexp_replace(text, LEGAL, " ")), " ")
     return F.array_join(F.filter(words, lambda w: ~F.array_contains(stop, w)), " ")
 
@@ -208,7 +203,7 @@ def _by_country(country: Column, values: dict, other: Column, make) -> Column:
 
 def address_parts(text: Column, country: Column) -> Column:
     """Components of an address: array of (text, region), abbreviations spelled out, empty and null-like ones gone, each once."""
-    nulls = F.array(*[F.lit(w) for w in V.ADDRESS_NULLS.split()])
+    nulls = F.array(*[F.lit(w) for w in V.ADDRESS_NULLS])
     parts = F.transform(F.split(text, ","), lambda p: F.trim(F.regexp_replace(p, r"[^a-z0-9 /-]+", " ")))
     parts = F.filter(parts, lambda p: (p != "") & ~F.array_contains(nulls, p))
 
@@ -225,7 +220,7 @@ def address_parts(text: Column, country: Column) -> Column:
 
 
 def postcode(text: Column, country: Column) -> Column:
-    found = _by_country(country, POSTCODES, F.regexp_extract(text, POSTCODES[""], 1), lambda p: F.regexp_extract(text, p, 1))
+    found = _by_country(country, V.POSTCODES, F.regexp_extract(text, V.POSTCODES[""], 1), lambda p: F.regexp_extract(text, p, 1))
     return F.replace(found, F.lit(" "), F.lit(""))
 
 
@@ -246,7 +241,7 @@ def clean_records(records: DataFrame) -> DataFrame:
             "postcode": postcode(F.col("_address"), F.col("country")),
         }
     )
-    return out.withColumn("house_no", F.regexp_extract("addr_norm", HOUSE, 1)).drop("_name", "_address", "_parts")
+    return out.withColumn("house_no", F.regexp_extract("addr_norm", V.HOUSE, 1)).drop("_name", "_address", "_parts")
 
 
 # The plainer normal form, for word bags

@@ -9,7 +9,7 @@ from ledgerloom.functions import similarity as S
 from ledgerloom.functions import text as T
 from ledgerloom.operators import keys as K
 
-#: Columns of each family, for choosing feature sets.
+#: Fixed names: the columns of each family, for choosing feature sets.
 FAMILIES = {
     "name": ["name_ratio", "name_norm_ratio", "name_lev", "name_dl", "name_jaro", "name_jw", "name_tset", "name_tsort", "name_partial", "name_prefix", "name_len_ratio", "name_char3_cos", "name_empty_l", "name_empty_r"],
     "token": ["name_tok_jacc", "name_tok_contain", "name_wjacc", "name_shared_idf_sum", "name_shared_idf_max", "name_miss_idf_max_l", "name_miss_idf_max_r", "name_freq_l", "name_freq_r", "name_ntok_l", "name_ntok_r"],

@@ -33,7 +33,7 @@ def zero_strip(t: Column) -> Column:
 
 
 def _one_address_token(t: Column) -> Column:
-    ordinals = {w: str(k) for k, w in enumerate(V.ORDINALS.split())}
+    ordinals = {w: str(k) for k, w in enumerate(V.ORDINALS)}
     return (
         F.when(pick(ordinals, t).isNotNull(), pick(ordinals, t))
         .when(t.rlike("^[0-9]+(st|nd|rd|th)$"), F.regexp_extract(t, "^0*([0-9]+)(?:st|nd|rd|th)$", 1))
@@ -68,7 +68,7 @@ def record_keys(records: DataFrame, name: str = "name_core", address: str = "add
     out = records.withColumn("_own", own).withColumn("_region", F.coalesce(pick(V.split_states(), own), own)).withColumn("_words", F.transform(words, undo_leet))
     w, joined, area = F.col("_words"), F.array_join("_words", ""), F.col("_region")
     raw = F.filter(F.split(F.replace(F.coalesce(F.col(address), F.lit("")), F.lit(","), F.lit(" ")), " +"), lambda t: t != "")
-    generic = F.array(*[F.lit(x) for x in V.ADDRESS_GENERIC.split()])
+    generic = F.array(*[F.lit(x) for x in V.ADDRESS_GENERIC])
     tokens = F.filter(F.flatten(F.transform(raw, address_tokens)), lambda t: (t != "") & ~F.array_contains(generic, t) & (t != F.col("_own")) & (t != area))
     out = out.withColumn("_places", tokens)
     p = F.col("_places")
