@@ -1,14 +1,19 @@
 """Candidate retrieval: TF-IDF cosine over blocking keys, BM25 over word channels, and unions of passes.
 
-Postings are joined on (country, key).  Keys that more than ``cap`` pool records hold are left out of the join, which bounds the
-pairs of any key by cap times its queries; norms are taken before.  One join serves all passes: each contributes a
-conditional sum.  ``row_number`` limits plan as WindowGroupLimit, so most pairs are dropped before the sort's shuffle.
+TF-IDF: records become sparse vectors of key hashes, once, and each country's queries and pool are dealt into tiles of bounded
+size.  A pair of tiles is one task: postings of the pool's tile, sorted by key, are multiplied with the queries' vectors in numpy, all
+passes from one look-up, and only each query's best ``k`` leave it, to be merged by a window.  So no pair of records that share
+a key is ever shuffled.  Keys that more than ``cap`` pool records hold are left out of the products; norms are taken before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,33 +41,137 @@ def pool_stats(pool_keys: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFr
     return pool_keys.groupBy("country", "key").agg(F.count("*").alias("df")), pool.groupBy("country").agg(F.count("*").alias("n"))
 
 
+def _measured(keys: DataFrame, stats: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``keys`` of countries that have a pool, with ``df`` (0 for a key that the pool lacks) and ``idf``."""
+    df, n = stats
+    out = keys.join(df, ["country", "key"], "left").join(n, "country").withColumn("df", F.coalesce("df", F.lit(0)))
+    return out.withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+
+
 def weighted(keys: DataFrame, stats: tuple[DataFrame, DataFrame], passes: tuple[Pass, ...]) -> DataFrame:
     """(id, country, key, df, w_<pass>): unit-length weights of a record's keys in each pass; countries without a pool go."""
-    df, n = stats
-    out = keys.join(df, ["country", "key"], "left").join(F.broadcast(n), "country")
-    out = out.withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    raw = {f"w_{p.name}": F.coalesce(pick({f: str(w) for f, w in p.weights.items()}, F.col("family")).cast("double"), F.lit(0.0)) * F.col("idf") for p in passes}
-    out = out.withColumns(raw)
-    w = Window.partitionBy("id")
-    return out.select("id", "country", "key", "df", *[F.try_divide(F.col(c), F.sqrt(F.sum(F.col(c) * F.col(c)).over(w))).alias(c) for c in raw])
+    raw = {p.name: F.coalesce(pick({f: str(w) for f, w in p.weights.items()}, F.col("family")).cast("double"), F.lit(0.0)) * F.col("idf") for p in passes}
+    out = _measured(keys, stats).withColumns({f"w_{n}": c for n, c in raw.items()})
+    norms = out.groupBy("id").agg(*[F.sqrt(F.sum(F.col(f"w_{n}") * F.col(f"w_{n}"))).alias(f"norm_{n}") for n in raw])
+    return out.join(norms, "id").select("id", "country", "key", "df", *[F.try_divide(F.col(f"w_{n}"), F.col(f"norm_{n}")).alias(f"w_{n}") for n in raw])
+
+
+#: Keys of the records of a tile, about, and products that a task holds at once.
+TILE, PIECE = 1 << 22, 1 << 22
+
+
+class _Vectors:
+    """Records of a tile with their keys' weights in each pass, the records in order of their ids."""
+
+    def __init__(self, rows: pa.Table, families: np.ndarray) -> None:
+        rows = rows.take(pc.sort_indices(rows.column("id")))
+        self.ids = rows.column("id").combine_chunks()
+        keys = rows.column("keys").combine_chunks()
+        flat, count = keys.flatten(), pc.list_value_length(keys).to_numpy()
+        get = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+        self.row, self.key, self.df = np.repeat(np.arange(len(count)), count), get("hash"), get("df")
+        raw = families[:, get("family")] * get("idf")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            norms = np.stack([np.sqrt(np.bincount(self.row, w * w, len(count))) for w in raw])
+            self.weight = np.nan_to_num(raw / norms[:, self.row], nan=0.0, posinf=0.0)
+
+    def limit(self, least: int, most: int) -> None:
+        inside = (self.df >= least) & (self.df <= most)
+        self.row, self.key, self.df, self.weight = self.row[inside], self.key[inside], self.df[inside], self.weight[:, inside]
+
+
+def _products(q: _Vectors, p: _Vectors, passes: tuple[Pass, ...], digits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pass, queries, pool records, scores): the best ``k`` of each query of the tile and, of equal scores, all of the last."""
+    order = np.argsort(p.key, kind="stable")
+    known, row, weight, df = p.key[order], p.row[order], p.weight[:, order], p.df[order]
+    lo, hi = np.searchsorted(known, q.key), np.searchsorted(known, q.key, "right")
+    size, width = hi - lo, len(p.ids)
+    ends = np.searchsorted(q.row, np.arange(len(q.ids) + 1))  # keys of a record stand together
+    work = np.append(0, np.cumsum(size))[ends]
+    a = 0
+    while a < len(q.ids):
+        b = max(a + 1, min(int(np.searchsorted(work, work[a] + PIECE, "right")) - 1, a + max(1, PIECE // max(width, 1) * 8)))
+        mine = slice(ends[a], ends[b])
+        n = size[mine]
+        total = int(n.sum())
+        at = np.arange(total) + np.repeat(lo[mine] - np.cumsum(n) + n, n)
+        cell = np.repeat(q.row[mine] - a, n) * width + row[at]
+        dense = (b - a) * width <= 4 * total
+        if not dense:
+            by = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(cell[by]) != 0)) if total else np.zeros(0, np.int64)
+        for k, x in enumerate(passes):
+            part = np.repeat(q.weight[k, mine], n) * weight[k, at]
+            if x.cap < max(y.cap for y in passes):
+                part[df[at] > x.cap] = 0.0
+            if dense:
+                sums = np.bincount(cell, part, (b - a) * width)
+                cells = np.flatnonzero(sums)
+                sums = sums[cells]
+            else:
+                cells, sums = cell[by][first], np.add.reduceat(part[by], first) if total else part
+            sums = np.round(sums, digits)
+            good = sums >= x.least
+            cells, sums = cells[good], sums[good]
+            best = np.lexsort((-sums, cells // width))
+            query = cells[best] // width
+            place = np.arange(len(best)) - np.searchsorted(query, query)  # within the query
+            last = np.full(b - a, -np.inf)
+            ends_at = np.flatnonzero(place == x.k - 1)
+            last[query[ends_at]] = sums[best[ends_at]]
+            kept = best[(place < x.k) | (sums[best] >= last[query])]
+            yield k, cells[kept] // width + a, cells[kept] % width, sums[kept]
+        a = b
 
 
 def retrieve(query_keys: DataFrame, pool_keys: DataFrame, pool: DataFrame, passes: tuple[Pass, ...] = NARROW, digits: int = 9) -> DataFrame:
-    """(pass, q, p, score, rank): the best ``k`` pool records of each query in each pass, ties by the pool record's id."""
+    """(pass, q, p, score, rank): the best ``k`` pool records of each query in each pass, ties by the pool record's id.
+
+    Keys are compared by 64 bits of a hash."""
     stats = pool_stats(pool_keys, pool)
-    names = [f"w_{p.name}" for p in passes]
-    cap = max(p.cap for p in passes)
-    q = weighted(query_keys, stats, passes).where(F.col("df").between(1, cap))
-    p = weighted(pool_keys, stats, passes).where(F.col("df") <= cap)
-    q = q.select(F.col("id").alias("q"), "country", "key", "df", *[F.col(c).alias(f"q{c}") for c in names])
-    p = p.select(F.col("id").alias("p"), "country", "key", *[F.col(c).alias(f"p{c}") for c in names])
-    sums = [F.round(F.sum(F.when(F.col("df") <= x.cap, F.col(f"qw_{x.name}") * F.col(f"pw_{x.name}"))), digits).alias(x.name) for x in passes]
-    pairs = q.join(p, ["country", "key"]).groupBy("q", "p").agg(*sums)
-    long = pairs.select("q", "p", F.explode(F.array(*[F.struct(F.lit(x.name).alias("pass"), F.col(x.name).alias("score"), F.lit(x.least).alias("least"), F.lit(x.k).alias("k")) for x in passes])).alias("s"))
-    long = long.select("q", "p", "s.*").where("score >= least")
+    used = sorted({f for x in passes for f in x.weights})
+    families = np.array([[x.weights.get(f, 0.0) for f in [*used, ""]] for x in passes])
+    cap = max(x.cap for x in passes)
+
+    def vectors(keys: DataFrame) -> DataFrame:
+        family = F.coalesce(F.array_position(F.array(*[F.lit(f) for f in used]), F.col("family")).cast("int") - 1, F.lit(-1))
+        one = F.struct(F.xxhash64("key").alias("hash"), F.col("df").cast("int").alias("df"), "idf", F.when(family < 0, len(used)).otherwise(family).alias("family"))
+        return _measured(keys, stats).groupBy("id", "country").agg(F.collect_list(one).alias("keys"))
+
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / TILE)).cast("int")
+    shape = stats[0].groupBy("country").agg(tiles(F.sum("df")).alias("p_tiles"))
+    shape = shape.join(query_keys.groupBy("country").agg(tiles(F.count("*")).alias("q_tiles")), "country")
+
+    def tiled(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(shape, "country").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select("country", F.col("p").alias("p_tile"), F.col("q").alias("q_tile"), "id", "keys")
+
+    kinds = {"q": query_keys.schema["id"].dataType.simpleString(), "p": pool_keys.schema["id"].dataType.simpleString()}
+    labels = pa.array([x.name for x in passes])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        right = right.rename_columns(left.column_names)
+        if len(left) and len(right):
+            q, p = _Vectors(left, families), _Vectors(right, families)
+            q.limit(1, cap)
+            p.limit(0, cap)
+            for k, at, other, score in _products(q, p, passes, digits):
+                out.append(pa.table([labels.take(pa.array(np.full(len(at), k))), q.ids.take(pa.array(at)), p.ids.take(pa.array(other)), pa.array(score)], names=["pass", "q", "p", "score"]))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table([labels[:0], left.column("id").combine_chunks()[:0], right.column("id").combine_chunks()[:0], pa.array([], pa.float64())], names=["pass", "q", "p", "score"])
+
+    names = ["country", "p_tile", "q_tile", "id", "keys"]
+    ours = tiled(vectors(query_keys), "q_tiles", "p_tiles").toDF(*names)
+    theirs = tiled(vectors(pool_keys), "p_tiles", "q_tiles").toDF(*(f"r_{c}" for c in names))
+    both = ours.groupBy(*names[:3]).cogroup(theirs.groupBy(*theirs.columns[:3]))
+    found = both.applyInArrow(run, f"pass string, q {kinds['q']}, p {kinds['p']}, score double")
     rank = F.row_number().over(Window.partitionBy("pass", "q").orderBy(F.desc("score"), "p"))
     most = max(x.k for x in passes)
-    return long.withColumn("rank", rank).where(F.col("rank") <= most).where("rank <= k").select("pass", "q", "p", "score", "rank")
+    limit = pick({x.name: str(x.k) for x in passes}, F.col("pass")).cast("int")
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= limit).select("pass", "q", "p", "score", "rank")
 
 
 def union_passes(found: DataFrame, names: list[str]) -> DataFrame:
@@ -86,18 +195,25 @@ def truncate(wide: DataFrame, limits: dict[str, int], least: float = 0.05) -> Da
 
 def rare_terms(bags: DataFrame, df: DataFrame, n: DataFrame, limit: int = 6) -> DataFrame:
     """The rarest ``limit`` terms of a record's field, of those in at most max(50, 2 %) of the country's records."""
-    known = bags.join(df, ["country", "field", "term"]).join(F.broadcast(n), "country").where(F.col("df") <= F.greatest(F.lit(50.0), 0.02 * F.col("n")))
+    known = bags.join(df, ["country", "field", "term"]).join(n, "country").where(F.col("df") <= F.greatest(F.lit(50.0), 0.02 * F.col("n")))
     rank = F.row_number().over(Window.partitionBy("id", "field").orderBy("df", "term"))
     return known.withColumn("r", rank).where(F.col("r") <= limit).drop("r", "n")
 
 
 def bm25(terms: DataFrame, pool_bags: DataFrame, n: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q, p, field, score): BM25 of pool records for query terms (id, country, field, term, df), by field."""
-    size = pool_bags.groupBy("country", "field", "id").agg(F.count("*").alias("size"))
-    mean = size.groupBy("country", "field").agg(F.avg("size").alias("mean"))
-    tf = pool_bags.groupBy("country", "field", "id", "term").agg(F.count("*").alias("tf"))
+    """(q, p, field, score): BM25 of pool records for query terms (id, country, field, term, df), by field.
+
+    ``pool_bags`` (country, field, id, term) may carry ``size``, the number of the record's words in the field."""
+    if "size" not in pool_bags.columns:
+        size = pool_bags.groupBy("country", "field", "id").agg(F.count("*").alias("size"))
+        pool_bags = pool_bags.join(size, ["country", "field", "id"])
+    # of the pool, only terms that a query has go on, each with its record's size
+    wanted = terms.select("country", "field", "term").distinct()
+    tf = pool_bags.join(wanted, ["country", "field", "term"], "left_semi").groupBy("country", "field", "id", "term", "size").agg(F.count("*").alias("tf"))
+    # a record's rows count one together, so no shuffle by record is needed
+    mean = pool_bags.groupBy("country", "field").agg((F.count("*") / F.round(F.sum(1 / F.col("size")))).alias("mean"))
     hits = terms.select(F.col("id").alias("q"), "country", "field", "term", "df").join(tf.withColumnRenamed("id", "p"), ["country", "field", "term"])
-    hits = hits.join(size.withColumnRenamed("id", "p"), ["country", "field", "p"]).join(F.broadcast(mean), ["country", "field"]).join(F.broadcast(n), "country")
+    hits = hits.join(mean, ["country", "field"]).join(n, "country")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     return hits.groupBy("q", "p", "field").agg(F.round(F.sum(part), 9).alias("score"))

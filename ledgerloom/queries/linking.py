@@ -12,7 +12,7 @@ from ledgerloom.operators import metrics as M
 from ledgerloom.plans import tuning
 from ledgerloom.queries.base import KEYS_SQL, PAIRS_SQL, RECORDS_SQL, keys, pairs, query, records, table, truth
 
-CAP = 25
+CAP = 2000
 PASSES = tuple(retrieval.Pass(n, w, k, CAP, 0.05) for n, w, k in (("all", {"name": 1.0, "addr": 0.5}, 20), ("name", {"name": 1.0}, 10), ("addr", {"addr": 1.0}, 10)))
 
 STATS_SQL = f"""
@@ -78,7 +78,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, p, pool = _split(spark, sf_dir)
     df, n = retrieval.pool_stats(p, pool)
-    return df.join(F.broadcast(n), "country").select("country", "key", "df", F.round(F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
+    return df.join(n, "country").select("country", "key", "df", F.round(F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
 @query(f"with {WEIGHTED_SQL} select id, count(*) as n_keys, round(sum(w_all * w_all), 6) as norm_all, round(max(w_name), 6) as top_name, round(max(w_addr), 6) as top_addr from w where src = 1 group by id")
@@ -227,7 +227,7 @@ ranked as (select q, p, field as channel, score, row_number() over (partition by
 
 def _bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = records(spark, sf_dir)
-    each = lambda f: rows.select("id", "src", "country", F.lit(f).alias("field"), F.explode(f).alias("term"))
+    each = lambda f: rows.select("id", "src", "country", F.lit(f).alias("field"), F.size(f).alias("size"), F.explode(f).alias("term"))
     bags = each("name").union(each("addr"))
     pool = bags.where("src <> 1")
     n = rows.where("src <> 1").groupBy("country").agg(F.count("*").alias("n"))
