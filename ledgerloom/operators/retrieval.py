@@ -80,47 +80,82 @@ class _Vectors:
         self.row, self.key, self.df, self.weight = self.row[inside], self.key[inside], self.df[inside], self.weight[:, inside]
 
 
+def _best(x: Pass, query: np.ndarray, record: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Which scores are among the best ``k`` of their query (0 to n - 1), with all that equal the last of these."""
+    order = np.lexsort((-score, query))
+    by = query[order]
+    place = np.arange(len(by)) - np.searchsorted(by, by)
+    last = np.full(n, -np.inf)
+    end = place == x.k - 1
+    last[by[end]] = score[order[end]]
+    return order[(place < x.k) | (score[order] >= last[by])]
+
+
 def _products(q: _Vectors, p: _Vectors, passes: tuple[Pass, ...], digits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(pass, queries, pool records, scores): the best ``k`` of each query of the tile and, of equal scores, all of the last."""
+    """(pass, queries, pool records, scores): the best ``k`` of each query of the tile and, of equal scores, all of the last.
+
+    Keys of an eighth of the tile's records go through a matrix product, as far as their matrix is small; the others' postings
+    are looked up, and their products summed by cell."""
     order = np.argsort(p.key, kind="stable")
     known, row, weight, df = p.key[order], p.row[order], p.weight[:, order], p.df[order]
-    lo, hi = np.searchsorted(known, q.key), np.searchsorted(known, q.key, "right")
-    size, width = hi - lo, len(p.ids)
+    width, caps = len(p.ids), [x.cap for x in passes]
+    keys, first, count = np.unique(known, return_index=True, return_counts=True)
+    often = np.flatnonzero(8 * count > width)
+    often = often[np.argsort(-count[often], kind="stable")[: (1 << 24) // max(width, 1)]]
+    at = np.minimum(np.searchsorted(keys, q.key), max(len(keys) - 1, 0))
+    found = keys[at] == q.key if len(keys) else np.zeros(len(q.key), bool)
+    column = np.full(max(len(keys), 1), -1)
+    column[often] = np.arange(len(often))
+    size = np.where(found & (column[at] < 0), count[at] if len(keys) else 0, 0)
+    lo = first[at] if len(keys) else np.zeros(len(q.key), np.int64)
+    common = np.where(found, column[at], -1)
+    matrix = []
+    for k, x in enumerate(passes):
+        m = np.zeros((len(often), width))
+        for c, o in enumerate(often.tolist()):
+            mine = slice(first[o], first[o] + count[o])
+            m[c, row[mine]] = np.where(df[mine] <= x.cap, weight[k, mine], 0.0)
+        matrix.append(m)
     ends = np.searchsorted(q.row, np.arange(len(q.ids) + 1))  # keys of a record stand together
     work = np.append(0, np.cumsum(size))[ends]
     a = 0
     while a < len(q.ids):
-        b = max(a + 1, min(int(np.searchsorted(work, work[a] + PIECE, "right")) - 1, a + max(1, PIECE // max(width, 1) * 8)))
+        b = min(int(np.searchsorted(work, work[a] + PIECE, "right")) - 1, a + max(1, 2 * PIECE // max(width, 1)), len(q.ids))
+        b = max(a + 1, b)
         mine = slice(ends[a], ends[b])
-        n = size[mine]
-        total = int(n.sum())
+        n, total = size[mine], int(size[mine].sum())
         at = np.arange(total) + np.repeat(lo[mine] - np.cumsum(n) + n, n)
         cell = np.repeat(q.row[mine] - a, n) * width + row[at]
-        dense = (b - a) * width <= 4 * total
-        if not dense:
+        mixed = common[mine] >= 0
+        dense = mixed.any() or (b - a) * width <= 4 * total
+        if not dense and total:
             by = np.argsort(cell, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(cell[by]) != 0)) if total else np.zeros(0, np.int64)
+            cells = cell[by]
+            start = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         for k, x in enumerate(passes):
             part = np.repeat(q.weight[k, mine], n) * weight[k, at]
-            if x.cap < max(y.cap for y in passes):
+            if x.cap < max(caps):
                 part[df[at] > x.cap] = 0.0
             if dense:
-                sums = np.bincount(cell, part, (b - a) * width)
-                cells = np.flatnonzero(sums)
-                sums = sums[cells]
+                sums = np.bincount(cell, part, (b - a) * width).reshape(b - a, width)
+                if mixed.any():
+                    left = np.zeros((b - a, len(often)))
+                    left[(q.row[mine] - a)[mixed], common[mine][mixed]] = q.weight[k, mine][mixed]
+                    sums += left @ matrix[k]
+                sums = np.round(sums, digits)
+                least = np.full(b - a, x.least)
+                if width > x.k:
+                    least = np.maximum(least, np.partition(sums, width - x.k, axis=1)[:, width - x.k])
+                query, record = np.nonzero(sums >= least[:, None])
+                score = sums[query, record]
+            elif total:
+                score = np.round(np.add.reduceat(part[by], start), digits)
+                good = score >= x.least
+                query, record, score = cells[start][good] // width, cells[start][good] % width, score[good]
             else:
-                cells, sums = cell[by][first], np.add.reduceat(part[by], first) if total else part
-            sums = np.round(sums, digits)
-            good = sums >= x.least
-            cells, sums = cells[good], sums[good]
-            best = np.lexsort((-sums, cells // width))
-            query = cells[best] // width
-            place = np.arange(len(best)) - np.searchsorted(query, query)  # within the query
-            last = np.full(b - a, -np.inf)
-            ends_at = np.flatnonzero(place == x.k - 1)
-            last[query[ends_at]] = sums[best[ends_at]]
-            kept = best[(place < x.k) | (sums[best] >= last[query])]
-            yield k, cells[kept] // width + a, cells[kept] % width, sums[kept]
+                continue
+            keep = _best(x, query, record, score, b - a)
+            yield k, query[keep] + a, record[keep], score[keep]
         a = b
 
 
@@ -138,9 +173,11 @@ def retrieve(query_keys: DataFrame, pool_keys: DataFrame, pool: DataFrame, passe
         one = F.struct(F.xxhash64("key").alias("hash"), F.col("df").cast("int").alias("df"), "idf", F.when(family < 0, len(used)).otherwise(family).alias("family"))
         return _measured(keys, stats).groupBy("id", "country").agg(F.collect_list(one).alias("keys"))
 
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / TILE)).cast("int")
-    shape = stats[0].groupBy("country").agg(tiles(F.sum("df")).alias("p_tiles"))
-    shape = shape.join(query_keys.groupBy("country").agg(tiles(F.count("*")).alias("q_tiles")), "country")
+    # tiles of a bounded size; few tiles of the pool leave the queries in more, to have as many tasks as partitions
+    parts = int(query_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda n, size: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / size)).cast("int")
+    shape = stats[0].groupBy("country").agg(of(F.sum("df"), TILE).alias("p_tiles")).join(query_keys.groupBy("country").agg(F.count("*").alias("n")), "country")
+    shape = shape.select("country", "p_tiles", F.greatest(of(F.col("n"), TILE), F.least(of(F.lit(parts), F.col("p_tiles")), of(F.col("n"), 1 << 16))).alias("q_tiles"))
 
     def tiled(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.join(shape, "country").withColumn(own[0], F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))

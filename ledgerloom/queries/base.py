@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import spread, stored
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +62,9 @@ def words(c) -> object:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.split_part(F.col("text"), F.lit("."), F.lit(1))
     rest = F.expr("substring(text, length(split_part(text, '.', 1)) + 1)")
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).alias("src"), F.col("lang").alias("country"), words(first).alias("name"), words(rest).alias("addr"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    build = lambda: d.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).alias("src"), F.col("lang").alias("country"), words(first).alias("name"), words(rest).alias("addr"))
+    return stored(spark, f"records of {sf_dir}", build)
 
 
 def truth(rows: DataFrame) -> DataFrame:

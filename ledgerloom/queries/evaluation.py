@@ -41,10 +41,17 @@ def entity_f05_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     TABLE_SQL
     + """select count(*) as n, round(avg(f05), 6) as macro_f05, round(avg(ceiling_f05), 6) as ceiling_f05,
   round(avg(f05) filter (g = 0), 6) as singleton_accuracy, round(avg(f05) filter (g > 0), 6) as matched_f05,
-  count(*) filter (g = 0) as n_singletons, sum(g)::bigint as gold_links, sum(k)::bigint as predicted_links, sum(tp)::bigint as true_links,
+  count(*) filter (g = 0) as n_singletons, round(avg((g = 0)::int), 6) as singleton_rate,
+  round(1000.0 * sum(k) filter (g = 0) / nullif(count(*) filter (g = 0), 0), 6) as fp_per_1000_singletons,
+  round(1000.0 * count(*) filter (g = 0 and k > 0) / nullif(count(*) filter (g = 0), 0), 6) as affected_per_1000_singletons,
+  sum(g)::bigint as gold_links, sum(k)::bigint as predicted_links, sum(tp)::bigint as true_links,
   round(sum(tp)::double / nullif(sum(k), 0), 6) as pair_precision, round(sum(tp)::double / nullif(sum(g), 0), 6) as pair_recall,
-  round(sum(c)::double / nullif(sum(g), 0), 6) as blocking_recall, round(avg(n_cand), 6) as candidates_mean,
-  round(quantile_cont(n_cand, 0.95), 6) as candidates_p95, round(avg((c = g)::int::double), 6) as fully_covered, round(avg((f05 = 1)::int::double), 6) as perfect
+  round(avg(case when k > 0 then tp / k else 1.0 end), 6) as entity_precision, round(avg(case when g > 0 then tp / g else (k = 0)::int end), 6) as entity_recall,
+  round(sum(c)::double / nullif(sum(g), 0), 6) as blocking_recall, round(avg(c / g) filter (g > 0), 6) as candidate_macro_recall,
+  round(avg((c > 0)::int) filter (g > 0), 6) as any_match_coverage, round(avg((c = g)::int) filter (g > 0), 6) as all_match_coverage,
+  round(avg(n_cand), 6) as candidates_mean, round(quantile_cont(n_cand, 0.95), 6) as candidates_p95, max(n_cand) as candidates_max,
+  round(avg((n_cand = 0)::int), 6) as zero_candidate_rate, round(avg(k), 6) as predicted_mean,
+  round(avg((c = g)::int::double), 6) as fully_covered, round(avg((f05 = 1)::int::double), 6) as perfect
 from t"""
 )
 def headline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +115,7 @@ select tau, t, macro_f05 from curve qualify row_number() over (partition by tau
 def policy_gate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
     e = entities(spark, sf_dir).join(p.groupBy("q").agg(F.max("score").alias("any_match")), "q", "left").withColumn("any_match", F.coalesce("any_match", F.lit(-1.0)))
-    gates = spark.createDataFrame([(x,) for x in (0.0, 0.25, 0.5, 0.75, 0.9)], "tau double")
-    return decide.gate_curve(p, e, gates)
+    return decide.gate_curve(p, e, [0.0, 0.25, 0.5, 0.75, 0.9])
 
 
 @query(
@@ -202,10 +208,7 @@ r as (select score, sum(n) over w as k, sum(pos) over w as tp, sum(pos) over ()
 select score, k::bigint as k, tp::bigint as tp, round((tp / k)::double, 6) as precision, round((tp / g)::double, 6) as recall from r"""
 )
 def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pairs(spark, sf_dir).groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("k", F.sum("n").over(w)).withColumn("tp", F.sum("pos").over(w)).withColumn("g", F.sum("pos").over(Window.partitionBy()))
-    return d.select("score", "k", "tp", F.round(F.col("tp") / F.col("k"), 6).alias("precision"), F.round(F.col("tp") / F.col("g"), 6).alias("recall"))
+    return M.precision_recall(pairs(spark, sf_dir))
 
 
 SPLIT_SQL = """select c_custkey, c_mktsegment,
@@ -246,9 +249,18 @@ def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.policy_search(p, entities(spark, sf_dir), [0.0, 0.2], [0.0, 0.05])
 
 
-@query()
+@query(
+    TABLE_SQL
+    + """, draws as (
+  select r, f05, (('0x' || substr(md5('7:' || r::varchar || ':' || q::varchar), 1, 8))::bigint + 0.5) / 4294967296.0 as u from t, unnest(range(1, 201)) as x(r)
+),
+steps as (select k, sum(1 / factorial(k::int)) over (order by k) * exp(-1.0) as total from unnest(range(0, 8)) as x(k)),
+counts as (select r, f05, (select count(*) from steps where u > total) as n from draws),
+means as (select r, sum(n * f05) / sum(n) as mean from counts group by r)
+select round(avg(mean), 6) as mean, round(stddev_pop(mean), 6) as se, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from means"""
+)
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.bootstrap_ci(_table(spark, sf_dir))
+    return M.bootstrap_ci(_table(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")])
 
 
 @query()

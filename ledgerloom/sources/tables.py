@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,33 @@ def cached(spark: SparkSession, path: str, inputs, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several plans of an application read, such as records' keys: built and written once, in the folder that the
+    driver and the executors share, and read from there.
+
+    Without such a folder (``spark.checkpoint.dir``) a session on one machine takes a temporary one, and others build it each time."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED or not exists(spark, f"{_STORED[key]}/_SUCCESS"):
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not spark.sparkContext.master.startswith("local"):
+                return build()
+            place = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        path = f"{place.rstrip('/')}/ledgerloom/{key[0]}/stored-{fingerprint(spark, name)[:24]}"
+        write_table(build(), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt over these; a table of more files is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def leaderboard(spark: SparkSession, pattern: str) -> DataFrame:
     """Run files (one JSON object each) as a table, the best macro F0.5 first and then the fastest."""
     runs = spark.read.option("multiLine", True).json(pattern)
