@@ -61,16 +61,27 @@ def token_idf(pool: DataFrame, column: str) -> DataFrame:
     """(country, token, idf) of a token-set column over the whole pool: ln((n + 1) / (df + 1)), without the 1 of retrieval."""
     n = pool.groupBy("country").agg(F.count("*").alias("n"))
     df = pool.select("country", F.explode(column).alias("token")).groupBy("country", "token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), "country").select("country", "token", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+    return df.join(n, "country").select("country", "token", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
-def weighted_overlap(pairs: DataFrame, records: DataFrame, idf: DataFrame, column: str, prefix: str, unseen: DataFrame | None = None) -> DataFrame:
-    """(q, p, <prefix>_wjacc, _shared_idf_sum, _shared_idf_max, _miss_idf_max_l, _miss_idf_max_r) of a token-set column.
+def _weights(records: DataFrame, idf: DataFrame, column: str, name: str) -> DataFrame:
+    """(entity_id, ``name``) for each id: a map of its tokens to their weights, empty without tokens."""
+    tokens = records.select("entity_id", "country", F.explode_outer(column).alias("token")).distinct().join(idf, ["country", "token"], "left")
+    pair = F.when(F.col("token").isNotNull(), F.struct("token", F.coalesce("idf", F.lit(0.0)).alias("w")))
+    once = tokens.groupBy("entity_id", "token").agg(F.max(pair).alias("pair"))
+    return once.groupBy("entity_id").agg(F.map_from_entries(F.collect_list("pair")).alias(name))
 
-    Token weights are joined to records once, so pairs carry arrays of (token, idf) and no posting is joined again."""
-    tokens = records.select("entity_id", "country", F.explode(column).alias("token")).join(idf, ["country", "token"], "left")
-    arrays = tokens.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("idf", F.lit(0.0))))).alias("w"))
-    both = pairs.select("q", "p").join(arrays.toDF("q", "l"), "q").join(arrays.toDF("p", "r"), "p")
+
+def weighted_overlap(pairs: DataFrame, records: DataFrame, idf: DataFrame, column: str, prefix: str, pool: DataFrame | None = None) -> DataFrame:
+    """(q, p, <prefix>_wjacc, _shared_idf_sum, _shared_idf_max, _miss_idf_max_l, _miss_idf_max_r) of a token-set column, a row for
+    each pair: null where a side has no tokens.  Tokens of repeated ids count once; an unknown id fails.
+
+    ``records`` has both sides, or the left one only if ``pool`` has the right one.  Token weights are joined to records once, so
+    pairs carry maps of tokens to weights and no posting is joined again."""
+    left = _weights(records, idf, column, "l").withColumnRenamed("entity_id", "q")
+    right = (_weights(pool, idf, column, "r") if pool is not None else left.withColumnRenamed("l", "r").withColumnRenamed("q", "entity_id")).withColumnRenamed("entity_id", "p")
+    both = pairs.select("q", "p").join(left, "q", "left").join(right, "p", "left")
+    both = both.withColumns({c: F.coalesce(c, F.raise_error(F.concat(F.lit("no record of id "), F.col(i).cast("string")))) for c, i in (("l", "q"), ("r", "p"))})
     values = lambda m, keys: F.transform(keys, lambda k: m[k])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     l, r = F.col("l"), F.col("r")
@@ -78,18 +89,13 @@ def weighted_overlap(pairs: DataFrame, records: DataFrame, idf: DataFrame, colum
     shared = F.array_intersect(lk, rk)
     s, a, b = total(values(l, shared)), total(F.map_values(l)), total(F.map_values(r))
     most = lambda m, keys: F.coalesce(F.array_max(values(m, keys)), F.lit(0.0))
-    return both.select(
-        "q", "p",
-        F.round(F.try_divide(s, a + b - s), 6).alias(f"{prefix}_wjacc"),
-        F.round(s, 6).alias(f"{prefix}_shared_idf_sum"),
-        F.round(most(l, shared), 6).alias(f"{prefix}_shared_idf_max"),
-        F.round(most(l, F.array_except(lk, rk)), 6).alias(f"{prefix}_miss_idf_max_l"),
-        F.round(most(r, F.array_except(rk, lk)), 6).alias(f"{prefix}_miss_idf_max_r"),
-    )
+    full = (F.size(l) > 0) & (F.size(r) > 0)
+    columns = {"wjacc": F.try_divide(s, a + b - s), "shared_idf_sum": s, "shared_idf_max": most(l, shared), "miss_idf_max_l": most(l, F.array_except(lk, rk)), "miss_idf_max_r": most(r, F.array_except(rk, lk))}
+    return both.select("q", "p", *[F.round(F.when(full, c), 6).alias(f"{prefix}_{n}") for n, c in columns.items()])
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Features of pairs (q, p, ...) of cleaned records; an id that isn't there drops its pair (``require_all`` finds those)."""
+    """Features of pairs (q, p, ...) of cleaned records, by the two records alone; an id that isn't there fails."""
     ql, pr = record_view(queries), record_view(pool)
     names = pool.groupBy("country", "name_core").agg(F.count("*").alias("n")).where("name_core != ''")
     freq = lambda d: d.join(names, ["country", "name_core"], "left").withColumn("freq", F.when(F.col("name_core") != "", F.log1p(F.coalesce("n", F.lit(0))))).drop("n")
@@ -97,7 +103,9 @@ def pair_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Data
     keep = ["entity_id", "name_core", "name_norm", "addr_norm", "street", "legal_form", "region", "postcode", "house_no", "house_int", "name_tokens", "addr_tokens", "name_nums", "addr_nums", "phone", "domain", "joined", "acronym", "skeletons", "house_plain", "plain_nums", "native", "freq"]
     left = ql.select(*[F.col(c).alias(f"l_{c}") for c in keep]).withColumnRenamed("l_entity_id", "q")
     right = pr.select(*[F.col(c).alias(f"r_{c}") for c in keep]).withColumnRenamed("r_entity_id", "p")
-    out = pairs.join(left, "q").join(right, "p")
+    out = pairs.join(left, "q", "left").join(right, "p", "left")
+    known = {f"{s}_name_core": F.coalesce(f"{s}_name_core", F.raise_error(F.concat(F.lit("no record of id "), F.col(i).cast("string")))) for s, i in (("l", "q"), ("r", "p"))}
+    out = out.withColumns(known)
     for column, kernels in (("name_core", ["ratio", "damerau", "jaro", "jaro_winkler", "token_set", "token_sort", "partial", "trigram"]), ("name_norm", ["ratio"]), ("addr_norm", ["ratio", "token_set", "partial", "trigram"]), ("street", ["ratio"]), ("joined", ["ratio", "partial"]), ("skeletons", ["token_set"])):
         out = S.on_distinct(out, f"l_{column}", f"r_{column}", kernels)
     l, r = lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")
@@ -163,6 +171,32 @@ def others_exact(pairs: DataFrame, column: str = "x_house_eq") -> Column:
     return ((F.sum(one).over(Window.partitionBy("q")) - one) > 0).cast("int")
 
 
+#: Columns that compare a candidate with the query's others, by those that they compare.
+GAPS = {"name_ratio_gap_best": "name_ratio", "wjacc_gap_best": "name_wjacc", "addr_ratio_gap_best": "addr_ratio", "x_addr_c3_gap_best": "addr_char3_cos", "x_street_gap_best": "street_ratio", "x_join_ratio_gap_best": "x_join_ratio", "x_skel_gap_best": "x_skel_tset"}
+
+
+def dense(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` with dense_cos, dense_rank and dense_gap_best by ``vectors`` (entity_id, embedding); null without a vector."""
+    side = lambda i, c: vectors.select(F.col("entity_id").alias(i), F.col("embedding").alias(c))
+    out = pairs.join(side("q", "_l"), "q", "left").join(side("p", "_r"), "p", "left").withColumn("dense_cos", S.dense_cosine(F.col("_l"), F.col("_r")))
+    w = Window.partitionBy("q")
+    have = F.col("dense_cos").isNotNull()
+    rank = F.when(have, F.rank().over(w.orderBy(F.desc_nulls_last("dense_cos"))))
+    return out.withColumn("dense_rank", rank).withColumn("dense_gap_best", F.col("dense_cos") - F.max("dense_cos").over(w)).select(*pairs.columns, "dense_cos", "dense_rank", "dense_gap_best")
+
+
+def full_table(pairs: DataFrame, queries: DataFrame, pool: DataFrame, vectors: DataFrame | None = None, names: tuple[str, ...] = ("all", "name", "addr")) -> DataFrame:
+    """All families' columns of candidate ``pairs`` (q, p, score, and score_<pass> and rank_<pass> of a wide retrieval) of cleaned records;
+    those of ``dense`` need ``vectors``."""
+    out = pair_features(pairs, queries, pool)
+    ql, pr = record_view(queries), record_view(pool)
+    for column, prefix in (("name_tokens", "name"), ("addr_tokens", "addr")):
+        out = out.join(weighted_overlap(pairs, ql, token_idf(pr, column), column, prefix, pr), ["q", "p"])
+    out = context(retrieval_features(out, names), gaps=GAPS, ranks={"name_ratio_rank": "name_ratio"}, high={"n_name_hi": "name_ratio"})
+    out = out.withColumn("x_house_eq_other", others_exact(out))
+    return dense(out, vectors) if vectors is not None else out
+
+
 def require_all(pairs: DataFrame, records: DataFrame, side: str) -> DataFrame:
     """Ids of ``side`` of the pairs that no record has; empty if all is well."""
     return pairs.select(F.col(side).alias("entity_id")).distinct().join(records.select("entity_id"), "entity_id", "left_anti")

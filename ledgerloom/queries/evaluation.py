@@ -241,11 +241,21 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.negatives(p, hard=3).select("q", "p", "kind", F.round("weight", 9).alias("weight"))
 
 
-@query()
+@query(
+    f"""with {PAIRS_SQL}, combos as (select * from (values (0.0, 0.0), (0.0, 0.05), (0.2, 0.0), (0.2, 0.05)) v(alpha, beta)),
+two as (select *, coalesce(nth_value(score, 2) over w, 0.0) as second, max(score) over w as best from pairs window w as (partition by q order by score desc, p rows between unbounded preceding and unbounded following)),
+scored as (select alpha::double as alpha, beta::double as beta, q, p, label, round(score - alpha * coalesce(second / nullif(best, 0), 0.0) - beta * (p % 3), 9) as score from two, combos),
+run as (select alpha, beta, q, p, score, label, g, count(*) over w as k, sum(label) over w as tp from scored join entities using (q) window w as (partition by alpha, beta, q order by score desc, p rows unbounded preceding)),
+steps as (select alpha, beta, score as t, sum(({F05.format(g="g", k="k", tp="tp")}) - ({F05.format(g="g", k="(k - 1)", tp="(tp - label)")})) as step from run group by all),
+base as (select count(*) as n, sum((g = 0)::int)::double as start from entities),
+curve as (select alpha::double as alpha, beta::double as beta, 'infinity'::double as t, round(start / n, 9) as macro_f05 from combos, base
+  union all select alpha, beta, t, round(((start + sum(step) over (partition by alpha, beta order by t desc rows unbounded preceding)) / n)::double, 9) from steps, base)
+select alpha, beta, t, macro_f05 from curve qualify row_number() over (partition by alpha, beta order by macro_f05 desc, t desc) = 1"""
+)
 def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.plans import tuning
 
-    p = pairs(spark, sf_dir).withColumn("conflict_count", F.col("p") % 3).persist()
+    p = pairs(spark, sf_dir).withColumn("conflict_count", F.col("p") % 3)
     return tuning.policy_search(p, entities(spark, sf_dir), [0.0, 0.2], [0.0, 0.05])
 
 
@@ -261,11 +271,3 @@ select round(avg(mean), 6) as mean, round(stddev_pop(mean), 6) as se, round(quan
 )
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bootstrap_ci(_table(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")])
-
-
-@query()
-def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic probabilities of the pairs' scores."""
-    from ledgerloom.operators import learn
-
-    return learn.calibrate(pairs(spark, sf_dir).withColumn("label", F.col("label").cast("double")).withColumnRenamed("score", "prob"), "isotonic")

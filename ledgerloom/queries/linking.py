@@ -304,15 +304,15 @@ def feat_char3_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {WIDE_SQL}, x as (select q, p, a.name as l, b.name as r from wide join records a on a.id = q join records b on b.id = p)
-select q, p, round(len(list_intersect(l, r)) / nullif(len(list_distinct(list_concat(l, r))), 0), 6) as jaccard,
+select q, p, case when len(l) > 0 and len(r) > 0 then round(len(list_intersect(l, r)) / len(list_distinct(list_concat(l, r))), 6) end as jaccard,
   case when len(l) > 0 and len(r) > 0 then round(len(list_intersect(l, r)) / least(len(list_distinct(l)), len(list_distinct(r))), 6) end as containment,
-  (len(l) > 0)::int + (len(r) > 0)::int as state from x where len(l) > 0 and len(r) > 0"""
+  (len(l) > 0)::int + (len(r) > 0)::int as state from x"""
 )
 def feat_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     x = _wide(spark, sf_dir).select("q", "p").join(rows.select(F.col("id").alias("q"), F.col("name").alias("l")), "q").join(rows.select(F.col("id").alias("p"), F.col("name").alias("r")), "p")
     l, r = F.col("l"), F.col("r")
-    return x.where("size(l) > 0 and size(r) > 0").select("q", "p", F.round(S.jaccard(l, r), 6).alias("jaccard"), F.round(S.containment(l, r), 6).alias("containment"), S.set_state(l, r).alias("state"))
+    return x.select("q", "p", F.round(S.jaccard(l, r), 6).alias("jaccard"), F.round(S.containment(l, r), 6).alias("containment"), S.set_state(l, r).alias("state"))
 
 
 @query(
@@ -323,9 +323,10 @@ x as (select q, p from wide), tot as (select id, sum(w) as t from wt group by id
 sh as (select x.q, x.p, sum(a.w) as s, max(a.w) as m from x join wt a on a.id = q join wt b on b.id = p and b.token = a.token group by all),
 ml as (select x.q, x.p, max(a.w) as m from x join wt a on a.id = q left join wt b on b.id = p and b.token = a.token where b.id is null group by all),
 mr as (select x.q, x.p, max(b.w) as m from x join wt b on b.id = p left join wt a on a.id = q and b.token = a.token where a.id is null group by all)
-select x.q, x.p, round(coalesce(s, 0) / nullif(t1.t + t2.t - coalesce(s, 0), 0), 6) as name_wjacc, round(coalesce(s, 0), 6) as name_shared_idf_sum, round(coalesce(sh.m, 0), 6) as name_shared_idf_max,
-  round(coalesce(ml.m, 0), 6) as name_miss_idf_max_l, round(coalesce(mr.m, 0), 6) as name_miss_idf_max_r
-from x join tot t1 on t1.id = q join tot t2 on t2.id = p left join sh using (q, p) left join ml using (q, p) left join mr using (q, p)"""
+select x.q, x.p, round(coalesce(s, 0) / nullif(t1.t + t2.t - coalesce(s, 0), 0), 6) as name_wjacc,
+  case when t1.t is not null and t2.t is not null then round(coalesce(s, 0), 6) end as name_shared_idf_sum, case when t1.t is not null and t2.t is not null then round(coalesce(sh.m, 0), 6) end as name_shared_idf_max,
+  case when t1.t is not null and t2.t is not null then round(coalesce(ml.m, 0), 6) end as name_miss_idf_max_l, case when t1.t is not null and t2.t is not null then round(coalesce(mr.m, 0), 6) end as name_miss_idf_max_r
+from x left join tot t1 on t1.id = q left join tot t2 on t2.id = p left join sh using (q, p) left join ml using (q, p) left join mr using (q, p)"""
 )
 def feat_weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).withColumn("entity_id", F.col("id")).withColumn("tokens", F.array_distinct("name"))

@@ -49,6 +49,17 @@ def sample(rows: DataFrame, share: float, keep: DataFrame | None = None, seed: i
     return picked.where("_in").drop("_in")
 
 
+def register_views(spark: SparkSession, folder: str, names: list[str], catalog: str = "") -> None:
+    """Views of a folder's Parquet tables for SQL, named by table or, with a ``catalog``, catalog_table, so that SQL can join several folders."""
+    for n in names:
+        spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(f"{catalog}_{n}" if catalog else n)
+
+
+def write_keys(keys: DataFrame, path: str) -> None:
+    """Exploded keys (id, country, family, key) as Parquet by country, for retrievals to come."""
+    write_table(keys.sortWithinPartitions("key"), path, "country")
+
+
 def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
     """Parquet in zstd, in folders of ``by``; the committer's _SUCCESS marks a whole table."""
     writer = rows.write.mode("overwrite").option("compression", "zstd")

@@ -230,7 +230,7 @@ def test_matcher_and_calibration(spark):
     scored = learn.predict(model, rows, ["x", "y"])
     assert M.mann_whitney_auc(scored, "prob", "label").first().auc == 1 and learn.importance(model, ["x", "y"])[0][0] == "x"
     for kind in ("none", "isotonic", "platt", "beta"):
-        out = learn.calibrate(scored.withColumn("label", F.col("label").cast("double")), kind)
+        out = learn.Calibrator(kind).fit(scored).apply(scored)
         assert out.where("calibrated < 0 or calibrated > 1 or calibrated is null").count() == 0
 
 
@@ -263,3 +263,138 @@ def test_stream_of_arrivals(spark, tmp_path):
     found = spark.createDataFrame(got)
     assert arrivals.best_so_far(found, found, 1).groupBy("pass", "q").count().where("count > 1").count() == 0
     pool.unpersist()
+
+
+def _labelled_pairs(spark, n=240):
+    """Queries 0 to n with 4 candidates each; the first is a match but for every third query; features tell with a little noise."""
+    rows = []
+    for q in range(n):
+        for k in range(4):
+            label = int(k == 0 and q % 3 > 0)
+            noise = (q * 7 + k * 13) % 11 / 40
+            rows.append((q, 10 * q + k, 0.5 * label + noise, 0.6 * label + noise, None if (q + k) % 5 == 0 else label + noise, label, (q + k) % 2, k + 1, 4))
+    return spark.createDataFrame(rows, "q long, p long, score double, name_ratio double, name_jw double, label int, conflict_count int, score_rank int, n_cand_ctx int")
+
+
+def test_bundles_fit_on_some_queries_and_apply_to_others(spark, monkeypatch):
+    from ledgerloom.operators import features as FF
+
+    monkeypatch.setitem(FF.FAMILIES, "name", ["name_ratio", "name_jw"])
+    monkeypatch.setitem(FF.FAMILIES, "retrieval", ["score"])
+    pairs = _labelled_pairs(spark).persist()
+    entities = pairs.groupBy("q").agg(F.sum("label").alias("g"))
+    seen, other = entities.where("q < 180"), entities.where("q >= 180")
+    mine, theirs = pairs.where("q < 180"), pairs.where("q >= 180")
+    for settings, least in [(linkage.Settings(kind="empty"), 0.3), (linkage.Settings(kind="oracle"), 1.0), (linkage.Settings(kind="rule"), 0.9), (linkage.Settings(matcher="lr", calibration="platt", negatives="E1"), 0.9),
+                            (linkage.Settings(matcher="gbt", policy="B", negatives="E2", unique=True, params=(("maxIter", 3),)), 0.9), (linkage.Settings(matcher="lr", policy="C", calibration="beta"), 0.9)]:
+        bundle = linkage.fit_bundle(settings, mine, seen)
+        given = theirs if settings.kind == "oracle" else theirs.drop("label")
+        found = linkage.apply_bundle(bundle, given, other.select("q"))
+        if "label" not in found.columns:
+            found = found.join(theirs.select("q", "p", "label"), ["q", "p"])
+        value = M.summary(M.entity_table(other, found)).first()
+        assert found.count() == theirs.count() and value.macro_f05 >= least and (settings.kind != "empty" or value.predicted_links == 0)
+    with pytest.raises(KeyError):
+        linkage.fit_bundle(linkage.Settings(families=("ADDR",)), mine, seen)
+    folded = entities.withColumn("fold", F.col("q") % 2).withColumn("country", F.when(F.col("q") % 4 < 2, "a").otherwise("b"))
+    out = linkage.evaluate(linkage.Settings(kind="rule"), pairs, folded)
+    assert out.count() == pairs.count()
+    told = {k: t.collect() for k, t in linkage.report(out, folded, ("country",)).items()}
+    assert told["overall"][0].macro_f05 > 0.9 and len(told["folds"]) == len(told["by_country"]) == 2 and told["interval"][0].low <= told["overall"][0].macro_f05
+    moved = linkage.cross_country(linkage.Settings(kind="rule"), pairs, folded, least=50)
+    assert {(r["train"], r["eval"]) for r in moved} == {("a", "b"), ("b", "a")} and min(r["macro_f05"] for r in moved) > 0.8
+    pairs.unpersist()
+
+
+def test_settings_of_runs():
+    runs = {s.name: s for s in linkage.pipelines(vectors=True)}
+    assert all(s.parent is None or s.parent in runs for s in runs.values())
+    known = {c for f in features.FAMILIES.values() for c in f}
+    assert set(runs["P9"].columns) <= known and "dense_cos" in runs["P6"].columns and len(set(runs["P2"].columns)) == len(runs["P2"].columns)
+    assert linkage.resolve(linkage.Settings(params=(("maxIter", 5),))) == {"maxIter": 5} and linkage.resolve(linkage.Settings()) == {}
+    assert linkage.resolve(linkage.Settings(params="hpo"), {"gbt": {"params": {"maxDepth": 3}}}) == {"maxDepth": 3}
+    cut = linkage.passes_for(linkage.Settings(limits=(("all", 9), ("name", 0)), least=0.2))
+    assert [(p.name, p.k, p.least) for p in cut] == [("all", 9, 0.2)]
+
+
+def test_full_features_and_links_of_unlabelled_queries(spark):
+    q, pool = (T.clean_records(spark.createDataFrame(rows, RAW)) for rows in (S1, POOL))
+    vectors = spark.createDataFrame([(i, [float(len(i)), 1.0]) for i, *_ in S1[:4] + POOL], "entity_id string, embedding array<double>")
+    table = linkage.features_of(q, pool, truth=spark.createDataFrame([("S1-fit", "S2-fit")], "q string, p string"), vectors=vectors)
+    assert {c for f in features.FAMILIES.values() for c in f} <= set(table.columns)
+    rows = {(r.q, r.p): r for r in table.collect()}
+    assert rows["S1-fit", "S2-fit"].label == 1 and rows["S1-fit", "S2-fit"].name_wjacc == 1 and rows["S1-hold", "S2-hold"].dense_cos is None
+    assert all((r.name_wjacc is None) == (r.name_ntok_l == 0 or r.name_ntok_r == 0) for r in rows.values()) and len(rows) == linkage.candidates(q, pool).count()
+    bundle = linkage.Bundle(linkage.Settings(kind="rule", unique=True), decide.Policy(t=0.3))
+    lists = {r.q: r.ids for r in linkage.link(bundle, spark.createDataFrame(S1, RAW), spark.createDataFrame(POOL, RAW)).collect()}
+    assert len(lists) == 5 and lists["S1-tune"] == "S2-tune" and "S2-hold" in lists["S1-hold"]
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="no record of id"):
+        features.pair_features(spark.createDataFrame([("S1-fit", "S2-none")], "q string, p string"), q, pool).collect()
+
+
+def test_weighted_overlap_keeps_pairs(spark):
+    rows = [(1, "US", ["a", "b"]), (2, "US", ["b"]), (3, "US", []), (4, "US", None), (2, "US", ["b"])]
+    records = spark.createDataFrame(rows, "entity_id long, country string, t array<string>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 3), (1, 1)], "q long, p long")
+    idf = spark.createDataFrame([("US", "a", 2.0), ("US", "b", 1.0)], "country string, token string, idf double")
+    got = {(r.q, r.p): tuple(r)[2:] for r in features.weighted_overlap(pairs, records, idf, "t", "x").collect()}
+    assert got == {(1, 2): (0.333333, 1.0, 1.0, 2.0, 0.0), (1, 3): (None,) * 5, (4, 3): (None,) * 5, (1, 1): (1.0, 3.0, 2.0, 0.0, 0.0)}
+
+
+def test_retrieval_over_many_tiles(spark, monkeypatch):
+    import random
+
+    from ledgerloom.operators import retrieval
+
+    rnd = random.Random(3)
+    rows = lambda n, k: [(f"{k}{i}", rnd.choice(["US", "FR"]), rnd.choice(["name", "addr", "none"]), f"k{int(rnd.paretovariate(0.5)) % 40}") for i in range(n) for _ in range(rnd.randrange(1, 9))]
+    q, p = (spark.createDataFrame(sorted(set(rows(n, k))), "id string, country string, family string, key string").dropDuplicates(["id", "country", "key"]) for n, k in ((60, "q"), (90, "p")))
+    pool = p.select(F.col("id").alias("entity_id"), "country").distinct()
+    passes = (retrieval.Pass("all", {"name": 1.0, "addr": 0.5}, 5, 30, 0.01), retrieval.Pass("name", {"name": 1.0}, 3, 20, 0.01))
+    whole = sorted(map(tuple, retrieval.retrieve(q, p, pool, passes).collect()))
+    monkeypatch.setattr(retrieval, "TILE", 40)
+    monkeypatch.setattr(retrieval, "PIECE", 64)
+    assert sorted(map(tuple, retrieval.retrieve(q, p, pool, passes).collect())) == whole and len(whole) > 100
+    w = {side: {(r.id, r.country): {} for r in rows.collect()} for side, rows in (("q", q), ("p", p))}
+    stats = retrieval.pool_stats(p, pool)
+    for side, keys_ in (("q", q), ("p", p)):
+        for r in retrieval.weighted(keys_, stats, passes).collect():
+            w[side][r.id, r.country][r.key] = (r.df, r.w_all or 0.0, r.w_name or 0.0)
+    want = []
+    for (a, c), left in w["q"].items():
+        for n, x in enumerate(passes):
+            found = []
+            for (b, d), right in w["p"].items():
+                s = round(sum(v[1 + n] * right[k][1 + n] for k, v in left.items() if k in right and 1 <= v[0] <= x.cap), 9)
+                if c == d and s >= x.least:
+                    found.append((-s, b))
+            want += [(x.name, a, b, -s) for s, b in sorted(found)[: x.k]]
+    merged = {}
+    for name, a, b, s in want:
+        merged.setdefault((name, a), []).append((-s, b))
+    assert {k: sorted(v) for k, v in merged.items() if len(v) <= 3} == {k: sorted((-r[3], r[2]) for r in whole if r[:2] == k) for k, v in merged.items() if len(v) <= 3}
+
+
+def test_views_keys_and_digests(spark, tmp_path):
+    import hashlib
+
+    from ledgerloom.operators import reports
+    from ledgerloom.sources import tables
+
+    tables.write_keys(spark.createDataFrame([("a", "US", "name", "n|x"), ("b", "FR", "name", "n|y")], "id string, country string, family string, key string"), f"file://{tmp_path}/keys.parquet")
+    tables.register_views(spark, f"file://{tmp_path}", ["keys"], "cache")
+    assert spark.sql("select id from cache_keys where country = 'FR'").first().id == "b"
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    row = reports.file_digests(spark, f"file://{tmp_path}/x.bin").first()
+    assert (row["size"], row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_command_line():
+    from ledgerloom.__main__ import parser
+
+    a = parser().parse_args(["tune", "--pairs", "p", "--truth", "t", "--out", "o"])
+    assert (a.stage, a.run) == ("tune", "P8")
+    with pytest.raises(SystemExit):
+        parser().parse_args(["submit", "--pairs", "p"])
