@@ -137,7 +137,7 @@ def _products(q: _Vectors, p: _Vectors, passes: tuple[Pass, ...], digits: int) -
             if x.cap < max(caps):
                 part[df[at] > x.cap] = 0.0
             if dense:
-                sums = np.bincount(cell, part, (b - a) * width).reshape(b - a, width)
+                sums = np.bincount(cell, part, (b - a) * width).astype(np.float64, copy=False).reshape(b - a, width)
                 if mixed.any():
                     left = np.zeros((b - a, len(often)))
                     left[(q.row[mine] - a)[mixed], common[mine][mixed]] = q.weight[k, mine][mixed]

@@ -324,7 +324,7 @@ def test_full_features_and_links_of_unlabelled_queries(spark):
     assert {c for f in features.FAMILIES.values() for c in f} <= set(table.columns)
     rows = {(r.q, r.p): r for r in table.collect()}
     assert rows["S1-fit", "S2-fit"].label == 1 and rows["S1-fit", "S2-fit"].name_wjacc == 1 and rows["S1-hold", "S2-hold"].dense_cos is None
-    assert all((r.name_wjacc is None) == (r.name_ntok_l == 0 or r.name_ntok_r == 0) for r in rows.values()) and len(rows) == linkage.candidates(q, pool).count()
+    assert all((r.name_shared_idf_sum is None) == (r.name_ntok_l == 0 or r.name_ntok_r == 0) for r in rows.values()) and len(rows) == linkage.candidates(q, pool).count()
     bundle = linkage.Bundle(linkage.Settings(kind="rule", unique=True), decide.Policy(t=0.3))
     lists = {r.q: r.ids for r in linkage.link(bundle, spark.createDataFrame(S1, RAW), spark.createDataFrame(POOL, RAW)).collect()}
     assert len(lists) == 5 and lists["S1-tune"] == "S2-tune" and "S2-hold" in lists["S1-hold"]
@@ -349,7 +349,7 @@ def test_retrieval_over_many_tiles(spark, monkeypatch):
     from ledgerloom.operators import retrieval
 
     rnd = random.Random(3)
-    rows = lambda n, k: [(f"{k}{i}", rnd.choice(["US", "FR"]), rnd.choice(["name", "addr", "none"]), f"k{int(rnd.paretovariate(0.5)) % 40}") for i in range(n) for _ in range(rnd.randrange(1, 9))]
+    rows = lambda n, k: [(f"{k}{i}", "FR" if i % 3 else "US", rnd.choice(["name", "addr", "none"]), f"k{int(rnd.paretovariate(0.5)) % 40}") for i in range(n) for _ in range(rnd.randrange(1, 9))]
     q, p = (spark.createDataFrame(sorted(set(rows(n, k))), "id string, country string, family string, key string").dropDuplicates(["id", "country", "key"]) for n, k in ((60, "q"), (90, "p")))
     pool = p.select(F.col("id").alias("entity_id"), "country").distinct()
     passes = (retrieval.Pass("all", {"name": 1.0, "addr": 0.5}, 5, 30, 0.01), retrieval.Pass("name", {"name": 1.0}, 3, 20, 0.01))
