@@ -63,7 +63,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd holds native memory for each file of many small ones
     return spark.read.schema(df.schema).parquet(path)
 
 
