@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import decide, learn
 from ledgerloom.operators import metrics as M
-from ledgerloom.operators.retrieval import hits, truncate
 
 
 def truncations(names: list[str], ks: list[int], least: list[float]) -> list[tuple[dict[str, int], float]]:
@@ -19,20 +18,21 @@ def truncations(names: list[str], ks: list[int], least: list[float]) -> list[tup
 
 
 def blocking_search(wide: DataFrame, truth: DataFrame, queries: DataFrame, grid: list[tuple[dict[str, int], float]]) -> DataFrame:
-    """(config, candidates, found, ceiling_f05) of each truncation of one wide retrieval; nothing is retrieved again.
+    """(config, candidates, found, ceiling_f05) of each truncation of one wide retrieval, in one pass over it.
 
     ``queries`` (q) has all queries; ``ceiling_f05`` is what a perfect matcher of those candidates would reach."""
-    total = queries.count()
-    rows = []
-    for limits, least in grid:
-        cut = truncate(wide, limits, least).select("q", "p")
-        name = ",".join(f"{n}@{k}" for n, k in limits.items()) + f">={least:g}"
-        per = hits(cut, truth).groupBy("q").agg(F.sum("hit").alias("found"), F.count("*").alias("g"))
-        best = per.agg(F.sum("found").alias("found"), F.sum(M.f_beta(F.lit(1.0), F.col("found") / F.col("g"))).alias("gain"), F.count("*").alias("matched"))
-        n = cut.agg(F.count("*").alias("candidates"))
-        ceiling = F.round((F.coalesce("gain", F.lit(0.0)) + total - F.col("matched")) / total, 6)
-        rows.append(best.crossJoin(F.broadcast(n)).select(F.lit(name).alias("config"), "candidates", F.coalesce("found", F.lit(0)).alias("found"), ceiling.alias("ceiling_f05")))
-    return reduce(DataFrame.unionByName, rows)
+    names = [",".join(f"{n}@{k}" for n, k in limits.items()) + f">={least:g}" for limits, least in grid]
+    inside = [F.coalesce(reduce(Column.__or__, [(F.col(f"rank_{n}") <= k) & (F.col(f"score_{n}") >= least) for n, k in limits.items()]), F.lit(False)) for limits, least in grid]
+    marked = wide.select("q", "p", *[c.alias(f"in{k}") for k, c in enumerate(inside)])
+    each = range(len(grid))
+    size = marked.agg(*[F.count_if(f"in{k}").alias(f"n{k}") for k in each])  # one row
+    per = truth.select("q", "p").join(marked, ["q", "p"], "left").groupBy("q").agg(F.count("*").alias("g"), *[F.count_if(f"in{k}").alias(f"c{k}") for k in each])
+    gain = lambda k: M.f_beta(F.lit(1.0), F.col(f"c{k}") / F.col("g"))
+    row = per.agg(F.count("*").alias("matched"), *[F.sum(f"c{k}").alias(f"c{k}") for k in each], *[F.sum(gain(k)).alias(f"f{k}") for k in each])
+    row = row.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(queries.agg(F.count("*").alias("total"))))
+    ceiling = lambda k: F.round((F.coalesce(f"f{k}", F.lit(0.0)) + F.col("total") - F.col("matched")) / F.col("total"), 6)
+    found = F.array(*[F.struct(F.lit(names[k]).alias("config"), F.col(f"n{k}").alias("candidates"), F.coalesce(f"c{k}", F.lit(0)).alias("found"), ceiling(k).alias("ceiling_f05")) for k in each])
+    return row.select(F.explode(found).alias("x")).select("x.*")
 
 
 def pareto(found: DataFrame) -> DataFrame:

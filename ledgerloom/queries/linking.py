@@ -194,7 +194,7 @@ r as (select config, coalesce(candidates, 0)::bigint as candidates, found::bigin
 select * from r qualify coalesce(ceiling_f05 > max(ceiling_f05) over (order by candidates, ceiling_f05 desc, config rows between unbounded preceding and 1 preceding), true)"""
 )
 def blocking_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, wide = records(spark, sf_dir), _wide(spark, sf_dir).persist()
+    rows, wide = records(spark, sf_dir), _wide(spark, sf_dir)
     grid = [({"all": a, "name": n}, 0.05) for a in (2, 8, 20) for n in (1, 4, 10)]
     return tuning.pareto(tuning.blocking_search(wide, truth(rows), rows.where("src = 1").select(F.col("id").alias("q")), grid))
 
@@ -389,6 +389,6 @@ def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector whose id is a multiple of 100, a stated query set, the ten nearest of its label among all."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("l"), "label")
-    x = e.select(F.col("vec_id").alias("p"), F.col("embedding").alias("r"), "label").join(F.broadcast(q), "label").where("p <> q")
+    x = e.select(F.col("vec_id").alias("p"), F.col("embedding").alias("r"), "label").join(q, "label").where("p <> q")
     x = x.select("q", "p", F.round(S.dense_cosine(F.col("l"), F.col("r")), 6).alias("cosine"))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "p"))).where("rank <= 10")
