@@ -224,6 +224,8 @@ def pair_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_records(spark, sf_dir).select("entity_id", pair_prompt({"name": n, "country": c}, {"name": n, "country": F.lit("")}).alias("prompt"))
 
 
-@query()
+@query(
+    r"""select doc_id, array_to_string(regexp_extract_all(lower(strip_accents(replace(text, 'ß', 'ss'))), '[a-z0-9]+'), ' ') as lexical, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) as safe, null::varchar as script from documents"""
+)
 def lexical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.lexical(F.col("text")).alias("lexical"), T.safe_text(F.col("text")).alias("safe"), T.script_of(F.col("text")).alias("script"))

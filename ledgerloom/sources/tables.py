@@ -41,8 +41,8 @@ def encode_id(c):
 
 
 def sample(rows: DataFrame, share: float, keep: DataFrame | None = None, seed: int = 42, id_col: str = "entity_id") -> DataFrame:
-    """A hash-seeded share of the rows, the same on each run, and all rows whose id is in ``keep``."""
-    picked = rows.withColumn("_in", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    """A share of the rows by the md5 of seed and id, the same on each run, and all rows whose id is in ``keep``."""
+    picked = rows.withColumn("_in", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
     if keep is not None:
         marks = keep.select(id_col).distinct().withColumn("_kept", F.lit(True))
         picked = picked.join(marks, id_col, "left").withColumn("_in", F.col("_in") | F.coalesce("_kept", F.lit(False))).drop("_kept")
