@@ -292,7 +292,7 @@ def linkage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run by rules over documents as records: retrieval, a threshold tuned on 30 % of the queries, one-to-one links, match lists of all."""
     rows = records(spark, sf_dir)
     links = truth(rows)
-    found = linkage.labelled(_wide(spark, sf_dir), links)
+    found = tables.stored(spark, f"labelled candidates of {sf_dir}", lambda: linkage.labelled(_wide(spark, sf_dir), links))
     known = rows.where("src = 1").select(F.col("id").alias("q")).join(links.groupBy("q").agg(F.count("*").alias("g")), "q", "left").fillna(0, ["g"])
     bundle = linkage.fit_bundle(linkage.Settings(kind="rule", unique=True), found, known)
     out = linkage.apply_bundle(bundle, found.drop("label"), known).where("pred").select("q", "p", F.col("prob").alias("score"))
