@@ -23,17 +23,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import map_batches, materialise, numbered
+from ledgerloom.llm import store
+from ledgerloom.llm.store import map_batches
 
 _WORD = r"[^\x20\x09-\x0D]"
 #: Lines of the first sort, and of the blocks in which neighbours are compared.
 HEAD, BLOCK = 8, 64
 _LAST = (1 << 63) - 1
+#: Every round writes small tables.
+materialise, numbered = partial(store.materialise, codec="snappy"), partial(store.numbered, codec="snappy")
 
 
 def _by_rank(rows: DataFrame, keys: list[str], n: int, tag: str) -> DataFrame:

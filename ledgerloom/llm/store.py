@@ -59,11 +59,13 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(lean(run), schema)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as read from there."""
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once to the shared folder and return it as read from there.
+
+    A plan of very many small tables takes snappy for ``codec``: zstd holds native memory for each file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)  # zstd holds native memory for each file of many small ones
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,7 +90,7 @@ def small(table: DataFrame, rows: int = 1 << 19) -> DataFrame:
 RANGE = 1 << 18
 
 
-def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None, rows: int | None = None, once: bool = False) -> DataFrame:
+def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", partitions: int | None = None, rows: int | None = None, once: bool = False, codec: str = "zstd") -> DataFrame:
     """Add ``row_no`` (0-based position in ``order``) and, given ``value``, ``before`` (its sum over earlier rows).
 
     Rows are dealt into contiguous ranges and written once, so that a range keeps its number; the totals
@@ -102,6 +104,7 @@ def numbered(df: DataFrame, order: list, value=None, tag: str = "numbered", part
     ranged = materialise(
         df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()),
         tag,
+        codec,
     )
     w = Window.partitionBy("_range").orderBy(*order)
     if once:
