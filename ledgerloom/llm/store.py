@@ -62,7 +62,7 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read from there.
 
-    A plan of very many small tables takes snappy for ``codec``: zstd holds native memory for each file."""
+    A plan of very many small tables takes snappy for ``codec``: with zstd, executors went beyond their memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
