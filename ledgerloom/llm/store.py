@@ -6,7 +6,6 @@ joins a true size, so that Catalyst broadcasts only what it has measured.
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import release
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only where none is set and the session runs on one machine."""
@@ -27,15 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def release() -> None:
-    """Give a worker's free memory back: it outlives its tasks, and would hold their largest arrays beside the executor's heap."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, and ``release`` when it ends."""
 

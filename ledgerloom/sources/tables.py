@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +136,30 @@ def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(_STORED[key])
 
 
+def release() -> None:
+    """Give a worker's free memory back: it outlives its tasks, and would hold their largest arrays beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, computed once: written to the folder that the driver and the executors share, and read from there.
+
+    On a cluster ``spark.checkpoint.dir`` must name that folder; a session on one machine without it takes a temporary one."""
+    spark = rows.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    path = f"{place.rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    write_table(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of fewer files than there are cores, dealt over these; a table of more files is left as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

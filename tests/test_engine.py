@@ -399,3 +399,30 @@ def test_command_line():
     assert (a.stage, a.run) == ("tune", "P8")
     with pytest.raises(SystemExit):
         parser().parse_args(["submit", "--pairs", "p"])
+
+
+def test_postings_that_go_to_tiles():
+    """A key over the cap, or of one side only, counts for norms and is not copied to any pair of tiles."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = {True: [(1, 5), (1, 6), (1, 8), (2, 7)], False: [(1, 5), (2, 5), (3, 6), (3, 9), (4, 7)]}
+    parts = []
+    for own, found in rows.items():
+        t = pa.table({"id": [i for i, _ in found], "code": pa.array([0] * len(found), pa.int32()), "family": pa.array([0] * len(found), pa.int8()), "hash": pa.array([k for _, k in found], pa.int64())})
+        parts.append(pa.Table.from_batches([retrieval._pack(t, 3, own, 6)]).drop_columns(["ids", "codes", "sizes"]))
+    t = pa.concat_tables(parts).filter(pa.array([s >= 0 for p in parts for s in p.column("segment").to_pylist()]))
+    made = list(retrieval._count(t, np.array([4]), np.array([2]), np.array([2]), 1, 2))
+    shares = [r for r in made if r["code"] < 0]
+    assert {r["own"]: len(r["refs"]) for r in shares} == {True: 2, False: 4}
+    dots = [r for r in made if r["code"] >= 0]
+    assert sum(len(retrieval._widen(r["q_at"])) for r in dots) == sum(len(retrieval._widen(r["p_at"])) for r in dots) == 2
+    assert all((retrieval._widen(r["df"]) == 1).all() for r in dots)
+
+
+def test_squeezed_numbers():
+    import numpy as np
+
+    for values in ([], [0], [3, 1, 255, 0], [70000, 2, 65536], [1 << 44, 5, (1 << 44) + 7]):
+        a = np.array(values, np.int64)
+        assert all(retrieval._widen(retrieval._squeeze(a, steps)).astype(np.int64).tolist() == values for steps in (False, True))
