@@ -60,12 +60,12 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), ""))).otherwise(none)
 
 
-def record_keys(records: DataFrame, name: str = "name_core", address: str = "addr_norm", region: str = "region") -> DataFrame:
-    """``records`` (with country) with ``keys``: array of (family, key), each once."""
+def record_keys(records: DataFrame, name: str = "name_core", address: str = "addr_norm", region: str = "region", leet: bool = True) -> DataFrame:
+    """``records`` (with country) with ``keys``: array of (family, key), each once; with ``leet``, digits for letters in names are undone."""
     none = F.array().cast("array<string>")
     own = F.coalesce(F.col(region), F.lit(""))
     words = F.filter(F.split(F.coalesce(F.col(name), F.lit("")), " +"), lambda t: (F.length(t) >= 2) | t.rlike("^[0-9]$"))
-    out = records.withColumn("_own", own).withColumn("_region", F.coalesce(pick(V.split_states(), own), own)).withColumn("_words", F.transform(words, undo_leet))
+    out = records.withColumn("_own", own).withColumn("_region", F.coalesce(pick(V.split_states(), own), own)).withColumn("_words", F.transform(words, undo_leet) if leet else words)
     w, joined, area = F.col("_words"), F.array_join("_words", ""), F.col("_region")
     raw = F.filter(F.split(F.replace(F.coalesce(F.col(address), F.lit("")), F.lit(","), F.lit(" ")), " +"), lambda t: t != "")
     generic = F.array(*[F.lit(x) for x in V.ADDRESS_GENERIC])

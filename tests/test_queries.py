@@ -47,6 +47,16 @@ def test_query(spark, con, name):
     assert rows == sorted(repr(tuple(plain(r[i]) for i in at)) for r in found.fetchall())
 
 
+def test_name_keys_of_words_with_digits(spark, tmp_path):
+    """Words that mix letters and digits stay as they are, as in the SQL."""
+    text = "Token 2abc3ff 5hop 7 x. Rest of it"
+    spark.createDataFrame([(415, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["name_keys"](spark, str(tmp_path)).select("id", "key").collect())
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(c.execute(ORACLES["name_keys"]).fetchall()) and (415, "n|2abc3ff") in got
+
+
 def test_entry():
     import __spark_entry__
 
