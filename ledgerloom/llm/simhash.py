@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col:
     return prints.join(named, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies: bands of min-hashes of a text's shingles, a SimHash before the exact similarity
+# Near copies: texts that the trie links, and for the rest bands of min-hashes of their shingles; then the exact similarity
 
 
 #: Bands of min-hashes per text, min-hashes of a band, and 64-bit parts of the SimHash.
@@ -352,13 +352,29 @@ def _similar(rows: DataFrame, similarity: float, slack: float) -> DataFrame:
     return map_batches(rows.select("cell", "node", "root", "proof", "shingles").repartition(n, "cell").sortWithinPartitions("cell"), run, "a long, b long")
 
 
+def linked(signed: DataFrame, budget: int = 4) -> DataFrame:
+    """(node, root) for each node of ``signed`` (node, proof) that the trie links to another: any of a proof's ``PARTS`` SimHashes within
+    ``budget`` bits."""
+    part = lambda k: F.conv(F.hex(F.substring("proof", 8 * k + 1, 8)), 16, -10).cast("long")
+    prints = signed.select("node", "proof").dropDuplicates(["node"]).select("node", F.array(*[part(k) for k in range(PARTS)]).alias("prints"))
+    found = components(links(materialise(prints, "proofs"), budget))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def banded(signed: DataFrame) -> DataFrame:
+    """(node, size, bucket) for each of the ``BANDS`` of a node of ``signed`` (node, bands, size)."""
+    return signed.select("node", "bands", "size").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, without near copies: of each group the smallest id stays.
 
-    Texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more.  Pairs
-    are tested that share one of ``BANDS`` bands of ``ROWS`` min-hashes of the shingles, whatever the shape of the edits: at 0.8
-    a pair is missed with (1 - 0.8**5)**24, 7 in 100,000.  A SimHash of 64 * ``PARTS`` bits sets most others aside (two sets of
-    similarity s overlap by 2s/(1+s) at least and differ in acos(overlap)/pi of the bits or fewer; ``slack`` is 4.5 deviations).
+    Texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more.  Each set has
+    ``PARTS`` SimHashes of 64 bits, and texts that the trie links by one of them make a bucket, in which all pairs are tested.  Four
+    bits of 64 are few for a similarity of 0.8, so pairs are tested too that share one of ``BANDS`` bands of ``ROWS`` min-hashes of the
+    shingles, whatever the shape of the edits: at 0.8 a pair is missed by these with (1 - 0.8**5)**24, 7 in 100,000.  The SimHashes
+    together set most pairs of a bucket aside (two sets of similarity s overlap by 2s/(1+s) at least and differ in acos(overlap)/pi
+    of the bits or fewer; ``slack`` is 4.5 deviations).
     What it leaves is counted shingle by shingle, on 32 bits of their hashes (n shingles err by about n / 2**32 of the similarity).
     Groups are the components of these links.
 
@@ -384,8 +400,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack:
 
     signed = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, node long, bands array<long>, proof binary, size long, shingles binary")
     signed = materialise(signed, "signatures")
-    rows = signed.select("node", "bands", "size").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
-    rows = materialise(rows, "bands")
+    near = materialise(linked(signed), "linked")
+    near = signed.select("node", "size").dropDuplicates(["node"]).join(small(near), "node").select("node", "size", F.xxhash64(F.lit("trie"), "root").alias("bucket"))
+    rows = materialise(banded(signed).unionByName(near), "buckets_of")
     held = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     held = held.groupBy("n", "words", "who", "lo", "hi").agg(F.min("bucket").alias("bucket"))
     held = held.select("bucket", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("words") / CELL_SHINGLES)).alias("parts"))

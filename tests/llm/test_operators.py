@@ -323,6 +323,19 @@ def test_near_copies_of_the_same_words_in_another_order(spark, monkeypatch):
     assert _near_kept(spark, texts) == {10 * k + x for k in range(30) for x in (0, 1)}
 
 
+def test_near_copies_by_the_trie_alone(spark, monkeypatch):
+    rnd = random.Random(15)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = {k: new(700) for k in range(30)}
+    for k in range(30):
+        edited = list(texts[k])
+        edited[rnd.randrange(700)] = "edited"
+        texts[1000 + k] = edited
+    bands = simhash.banded
+    monkeypatch.setattr(simhash, "banded", lambda signed: bands(signed).where("false"))
+    assert _near_kept(spark, texts) == set(range(30))
+
+
 @pytest.mark.parametrize("cell", [2, 7])
 def test_near_copies_in_small_cells_lose_none(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
