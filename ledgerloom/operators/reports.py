@@ -41,19 +41,39 @@ def without_owned(rows: DataFrame, owners: DataFrame, key: str, split: str) -> D
     return rows.join(owned, key, "left").where("_own is null or _own = 1").drop("_own")
 
 
+#: Pool records, and queries, of a country and first word that one task pairs, at about.
+TILE = 1 << 10
+
+
 def first_word_negatives(queries: DataFrame, pool: DataFrame, truth: DataFrame, seed: str = "42") -> DataFrame:
     """(q, p, kind) for each query (id, country, first): the pool record of its country and first word (hard), and one of its country
     (random), the first by md5 of those that aren't its matches.
 
+    A country and first word is cut in tiles of ``TILE`` pool records, kept as arrays, by ``TILE`` queries.  A query takes the least of
+    each array, so all pairs are hashed but none is shuffled or sorted.
     A random one is the next record of the country after the query in order of md5, so no pairs of a country are made."""
-    named = queries.where("first is not null and first != ''").select(F.col("id").alias("q"), "country", "first").join(pool.select(F.col("id").alias("p"), "country", "first"), ["country", "first"])
-    hard = named.join(truth.select("q", "p"), ["q", "p"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(seeded(seed, F.concat_ws(":", "q", "p")), "p"))
-    hard = hard.withColumn("_n", nth).where("_n = 1").select("q", "p", F.lit("hard").alias("kind"))
+    key = ["country", "first"]
+    owners = truth.groupBy("p").agg(F.collect_list("q").alias("owners"))
+    qs = queries.where("first is not null and first != ''").select(F.col("id").alias("q"), *key)
+    ps = pool.select(F.col("id").alias("p"), *key).join(owners, "p", "left")
+    tiles = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = tiles(qs, "across").join(tiles(ps, "down"), key)
+    at = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    qs = qs.join(sizes, key).select("q", *key, at("q", "across").alias("a"), every("down").alias("d"))
+    arrays = ps.join(sizes, key).select(*key, "across", at("p", "down").alias("d"), F.struct("p", "owners").alias("x")).groupBy(*key, "across", "d").agg(F.collect_list("x").alias("xs"))
+    arrays = arrays.select(*key, "d", "xs", every("across").alias("a"))
+    free = F.filter("xs", lambda x: x["owners"].isNull() | ~F.array_contains(x["owners"], F.col("q")))
+    least = F.array_min(F.transform(free, lambda x: F.struct(seeded(seed, F.concat_ws(":", "q", x["p"])).alias("at"), x["p"].alias("p"))))
+    tile, n = [*key, "a", "d"], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes are much work here
+    hard = qs.repartition(n, *tile).join(arrays.repartition(n, *tile), tile).select("q", least.alias("least"))
+    # Two uses of the least keep its column below the aggregation, whose sort would else carry the arrays.
+    hard = hard.groupBy("q").agg(F.min("least").alias("least"), F.count("least").alias("n")).where("n > 0").select("q", F.col("least.p").alias("p"), F.lit("hard").alias("kind"))
     mixed = queries.select("country", F.col("id").alias("q"), F.lit(None).cast(pool.schema["id"].dataType).alias("p"), seeded(seed, F.concat(F.lit("q"), F.col("id").cast("string"))).alias("at"))
     mixed = mixed.unionByName(pool.select("country", F.lit(None).cast(queries.schema["id"].dataType).alias("q"), F.col("id").alias("p"), seeded(seed, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("at")))
-    after = Window.partitionBy("country").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    around = mixed.withColumn("next", F.first("p", ignorenulls=True).over(after)).where("q is not null and next is not null")
+    # The next one is the last one in falling order: a frame up to the end would be read again for each row.
+    before = Window.partitionBy("country").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = mixed.withColumn("next", F.last("p", ignorenulls=True).over(before)).where("q is not null and next is not null")
     near = around.select("q", F.col("next").alias("p"), F.lit("random").alias("kind"))
     return hard.unionByName(near.join(truth.select("q", "p"), ["q", "p"], "left_anti"))
 

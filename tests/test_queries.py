@@ -57,6 +57,21 @@ def test_name_keys_of_words_with_digits(spark, tmp_path):
     assert got == sorted(c.execute(ORACLES["name_keys"]).fetchall()) and (415, "n|2abc3ff") in got
 
 
+def test_first_word_negatives_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    """Over several tiles the rows are the SQL's, and no plan sorts, windows or joins rows by pair."""
+    from ledgerloom.operators import reports
+
+    monkeypatch.setattr(reports, "TILE", 3)
+    rows = [(k, f"{'Same' if k % 2 else 'Other'} {k % 7} name here. Text {k}", "en" if k % 5 else "de") for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["first_word_negatives"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, df.select("q", "p", "kind").collect())) == sorted(c.execute(ORACLES["first_word_negatives"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower() and "row_number" not in plan and "array_min" in plan
+
+
 def test_entry():
     import __spark_entry__
 
