@@ -11,6 +11,7 @@ from ledgerloom.operators import features, retrieval
 from ledgerloom.operators import metrics as M
 from ledgerloom.plans import tuning
 from ledgerloom.queries.base import KEYS_SQL, PAIRS_SQL, RECORDS_SQL, keys, pairs, query, records, table, truth
+from ledgerloom.sources.tables import written
 
 CAP = 2000
 PASSES = tuple(retrieval.Pass(n, w, k, CAP, 0.05) for n, w, k in (("all", {"name": 1.0, "addr": 0.5}, 20), ("name", {"name": 1.0}, 10), ("addr", {"addr": 1.0}, 10)))
@@ -270,10 +271,35 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["p_brand", "p_type"]).where("q < p").select("q", "p", "l", "r")
 
 
+#: Ids of an array, at most, and arrays' ids that are broadcast, at most.
+RUN, SMALL = 1 << 5, 1 << 21
+
+
+def _compared(spark: SparkSession, sf_dir: str, score) -> DataFrame:
+    """(q, p, ...) for all pairs of parts of a brand and type, with the columns that ``score`` adds to pairs of names (l, r).
+
+    Names are compared once for each two that meet, in arrays of their parts' ids; pairs are made from these last, and never shuffled."""
+    group = ["p_brand", "p_type"]
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", *group).where("p_partkey is not null and p_brand is not null and p_type is not null")
+    run = F.floor((F.row_number().over(Window.partitionBy(*group, "p_name").orderBy("p_partkey")) - 1) / RUN)
+    runs = written(p.withColumn("run", run).groupBy(*group, "p_name", "run").agg(F.collect_list("p_partkey").alias("ids"), F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi")).drop("run"), "runs")
+    names = runs.where("p_name is not null").select(*group, "p_name").distinct()
+    met = names.withColumnRenamed("p_name", "l").join(names.withColumnRenamed("p_name", "r"), group).select("l", "r").distinct()
+    scores = written(score(met), "scores")
+    few = lambda rows, n: F.broadcast(rows) if n <= SMALL else rows
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = runs.select(*group, F.col("p_name").alias("l"), F.col("ids").alias("qs"), "lo").repartition(max(n, spark.sparkContext.defaultParallelism))
+    b = runs.select(*group, F.col("p_name").alias("r"), F.col("ids").alias("ps"), "hi")
+    both = a.join(few(b, runs.agg(F.sum(F.size("ids"))).first()[0] or 0), group).where("lo < hi").join(few(scores, scores.count()), ["l", "r"], "left")
+    kept = [c for c in scores.columns if c not in ("l", "r")]
+    both = both.select(F.explode("qs").alias("q"), "ps", "hi", *kept).where("q < hi")
+    return both.select("q", F.explode("ps").alias("p"), *kept).where("q < p")
+
+
 @query(f"with {PARTS_SQL} select q, p, round(1 - levenshtein(l, r) / greatest(length(l), length(r)), 6) as lev, round(least(length(l), length(r)) / greatest(length(l), length(r)), 6) as len_ratio from pp")
 def feat_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, r = F.col("l"), F.col("r")
-    return _parts(spark, sf_dir).select("q", "p", F.round(S.levenshtein_similarity(l, r), 6).alias("lev"), F.round(S.length_ratio(l, r), 6).alias("len_ratio"))
+    return _compared(spark, sf_dir, lambda met: met.select("l", "r", F.round(S.levenshtein_similarity(l, r), 6).alias("lev"), F.round(S.length_ratio(l, r), 6).alias("len_ratio")))
 
 
 @query(f"with {PARTS_SQL} select q, p, round(jaro_similarity(l, r), 6) as jaro, round(jaro_winkler_similarity(l, r), 6) as jaro_winkler, round(1 - damerau_levenshtein(l, r) / greatest(length(l), length(r)), 6) as damerau from pp")

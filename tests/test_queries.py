@@ -57,6 +57,35 @@ def test_name_keys_of_words_with_digits(spark, tmp_path):
     assert got == sorted(c.execute(ORACLES["name_keys"]).fetchall()) and (415, "n|2abc3ff") in got
 
 
+@pytest.mark.parametrize("small", [0, 1 << 21])
+def test_part_features_compare_names_once(spark, tmp_path, monkeypatch, small):
+    """Repeated, null and lone names over several runs of ids give the SQL's pairs, whose plan only reads scores of names."""
+    from ledgerloom.functions import similarity
+    from ledgerloom.queries import linking
+
+    monkeypatch.setattr(linking, "RUN", 2)
+    monkeypatch.setattr(linking, "SMALL", small)
+    rows = [(k * 37 % 101, [None, "red ring", "ring red", "large bolt", "red rung"][k % 5], f"B{k % 2}" if k % 11 else None, "T") for k in range(60)]
+    spark.createDataFrame([*rows, (500, "only one", "B9", "T"), (2, "red ring", "B0", "T")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    c.execute("create view named as select * from part where p_name is not null")
+    for name in ("feat_levenshtein",):
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "levenshtein" not in plan and "python" not in plan
+        assert df.count() == c.execute(f"with {linking.PARTS_SQL} select count(*) from pp").fetchone()[0]  # null names too
+        got = sorted(repr(tuple(map(plain, r))) for r in df.collect())
+        if name in ORACLES:
+            want = c.execute(ORACLES[name].replace("from part a join part b on", "from named a join named b on")).fetchall()
+            got = sorted(repr(tuple(map(plain, r))) for r in df.where(f"{df.columns[2]} is not null").collect())
+        else:
+            found = c.execute(f"with {linking.PARTS_SQL} select q, p, l, r from pp").fetchall()
+            kernels = [similarity.KERNELS[n] for n in ("ratio", "token_set", "token_sort", "partial")]
+            want = [(q, p, *(None if l is None or r is None else round(k(l, r), 6) for k in kernels)) for q, p, l, r in found]
+        assert len(want) > 400 and got == sorted(repr(tuple(map(plain, r))) for r in want), name
+
+
 def test_first_word_negatives_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
     """Over several tiles the rows are the SQL's, and no plan sorts, windows or joins rows by pair."""
     from ledgerloom.operators import reports
