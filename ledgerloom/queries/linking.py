@@ -296,6 +296,10 @@ def _compared(spark: SparkSession, sf_dir: str, score) -> DataFrame:
     return both.select("q", F.explode("ps").alias("p"), *kept).where("q < p")
 
 
+def _kernels(names: list[str]):
+    return lambda met: S.on_distinct(met, "l", "r", names).select("l", "r", *[F.round(f"l_{n}", 6).alias(n) for n in names])
+
+
 @query(f"with {PARTS_SQL} select q, p, round(1 - levenshtein(l, r) / greatest(length(l), length(r)), 6) as lev, round(least(length(l), length(r)) / greatest(length(l), length(r)), 6) as len_ratio from pp")
 def feat_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, r = F.col("l"), F.col("r")
@@ -304,8 +308,7 @@ def feat_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PARTS_SQL} select q, p, round(jaro_similarity(l, r), 6) as jaro, round(jaro_winkler_similarity(l, r), 6) as jaro_winkler, round(1 - damerau_levenshtein(l, r) / greatest(length(l), length(r)), 6) as damerau from pp")
 def feat_jaro_damerau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["jaro", "jaro_winkler", "damerau"]
-    return S.on_distinct(_parts(spark, sf_dir), "l", "r", names).select("q", "p", *[F.round(f"l_{n}", 6).alias(n) for n in names])
+    return _compared(spark, sf_dir, _kernels(["jaro", "jaro_winkler", "damerau"]))
 
 
 @query()
