@@ -328,7 +328,7 @@ d as (select l, r, sum(a.n * b.n) as dot from (select distinct l, r from pp) joi
 select q, p, round((coalesce(dot, 0) / (x1.norm * x2.norm))::double, 6) as cosine from pp left join d using (l, r) join nn x1 on x1.x = l join nn x2 on x2.x = r"""
 )
 def feat_char3_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.on_distinct(_parts(spark, sf_dir), "l", "r", ["trigram"]).select("q", "p", F.round("l_trigram", 6).alias("cosine"))
+    return _compared(spark, sf_dir, lambda met: S.on_distinct(met, "l", "r", ["trigram"]).select("l", "r", F.round("l_trigram", 6).alias("cosine")))
 
 
 @query(
