@@ -264,13 +264,6 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS_SQL = "pp as (select a.p_partkey as q, b.p_partkey as p, a.p_name as l, b.p_name as r from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey)"
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("q"), F.col("p_name").alias("l"), "p_brand", "p_type")
-    b = p.select(F.col("p_partkey").alias("p"), F.col("p_name").alias("r"), "p_brand", "p_type")
-    return a.join(b, ["p_brand", "p_type"]).where("q < p").select("q", "p", "l", "r")
-
-
 #: Ids of an array, at most, and arrays' ids that are broadcast, at most.
 RUN, SMALL = 1 << 5, 1 << 21
 
@@ -313,8 +306,7 @@ def feat_jaro_damerau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def feat_indel_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["ratio", "token_set", "token_sort", "partial"]
-    return S.on_distinct(_parts(spark, sf_dir), "l", "r", names).select("q", "p", *[F.round(f"l_{n}", 6).alias(n) for n in names])
+    return _compared(spark, sf_dir, _kernels(["ratio", "token_set", "token_sort", "partial"]))
 
 
 GRAMS = "list_transform(range(1, length({0}) + 1), lambda k: substr(' ' || {0} || ' ', k::int, 3))"

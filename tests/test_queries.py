@@ -70,7 +70,7 @@ def test_part_features_compare_names_once(spark, tmp_path, monkeypatch, small):
     c = duckdb.connect()
     c.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
     c.execute("create view named as select * from part where p_name is not null")
-    for name in ("feat_levenshtein", "feat_jaro_damerau", "feat_char3_cosine"):
+    for name in ("feat_levenshtein", "feat_jaro_damerau", "feat_char3_cosine", "feat_indel_family"):
         df = QUERIES[name](spark, str(tmp_path))
         plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "levenshtein" not in plan and "python" not in plan
