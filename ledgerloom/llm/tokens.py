@@ -1,7 +1,7 @@
 """Token ids in a grammar-compressed binary format with random access.
 
 Encoding: each different word of a slice goes through the tokenizer once (split at white space, which the tokenizer
-drops), and the texts are put together from the words' ids in numpy.
+drops, and between letters and signs or digits, which it parts), and the texts are put together from the words' ids in numpy.
 
 Compression is Re-Pair per segment: in rounds, frequent pairs of neighbouring symbols become nonterminals.  A round counts
 all pairs by sorting, ranks those that occur often enough, and replaces every occurrence that outranks its overlapping
@@ -17,6 +17,7 @@ A symbol below the number of terminals stands for that terminal, others for rule
 
 from __future__ import annotations
 
+import codecs
 import struct
 import unicodedata
 import zlib
@@ -38,21 +39,51 @@ KNOWN, KNOWN_BYTES = 3 << 18, 32 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Bytes by what the tokenizer does with them: 1 letters, 2 signs and digits, 3 the apostrophe, which may begin a part that ends in
+# letters, 4 the bar of special tokens, 5 bytes of letters and others outside ASCII, 0 the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F], _KIND[0x80:] = 2, 5
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], _KIND[0x27], _KIND[0x7C] = 1, 3, 4
+#: Two kinds of neighbouring bytes (the first times 8) that the tokenizer always parts.
+_PARTED = np.zeros(64, bool)
+_PARTED[[1 << 3 | 2, 1 << 3 | 3, 2 << 3 | 1]] = True
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes at which the tokenizer surely begins a new part, beside white space: between letters and signs or digits.  Of letters
+    outside ASCII only those of two bytes up to U+017F are told (without U+0130, which is lowered to a letter and a mark)."""
+    kind, out = _KIND[data], np.zeros(len(data), bool)
+    pair = kind[:-1] << 3 | kind[1:]
+    out[1:] = _PARTED[pair]
+    at = np.flatnonzero((pair == (5 << 3 | 2)) | (pair == (5 << 3 | 3)))
+    at = at[at > 0]
+    lead, last = data[at - 1], data[at]
+    letter = (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC4) & (last == 0xB0))
+    out[at[letter] + 1] = True
+    return out
 
 
-def _lowered(data: np.ndarray, v: W.Words) -> np.ndarray:
-    """A-Z in lower case in words of ASCII letters and signs, which the tokenizer lowers in any case; the words as they
-    are where its other steps come first (outside ASCII) or could take them for special tokens (a bar)."""
-    special = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data >= 0x80) | (data == 0x7C), out=special[1:])
-    plain = special[v.end] == special[v.start]
-    at = np.flatnonzero(v.inside & (data >= 0x41) & (data <= 0x5A))
-    at = at[plain[np.searchsorted(v.start, at, "right") - 1]]
-    out = data.copy()
-    out[at] += 32
-    return out
+def _words(data: np.ndarray, offs: np.ndarray) -> W.Words:
+    """The slice's words, parted at ``_cuts`` too, with A-Z in lower case, as the tokenizer lowers them in any case; but not where
+    its other steps come first (before a byte outside ASCII) or could take a word for a special token (with a bar)."""
+    low = np.frombuffer(bytearray(data).lower(), np.uint8)
+    wide = data >= 0x80
+    at = np.flatnonzero(wide[1:] > wide[:-1])
+    low[at] = data[at]
+    v = W.Words(low, offs, cut=_cuts(data))
+    bar = np.flatnonzero(data == 0x7C)
+    if len(bar):
+        barred = np.zeros(len(v.start), bool)
+        barred[np.searchsorted(v.start, bar, "right") - 1] = True
+        for start, end in zip(v.start[barred].tolist(), v.end[barred].tolist(), strict=True):
+            low[start:end] = data[start:end]
+    return v
+
+
+# what ByteLevel writes for each byte; the space stays, as it parts words
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+_BYTES = "".join(chr(0x20 if b == 0x20 else _HIDDEN.get(b, b)) for b in range(256))
 
 
 def _run(word: bytes) -> bytes | None:
@@ -71,7 +102,9 @@ class _Table:
 
     def __init__(self, bits: int = 18) -> None:
         self.bits, self.n = bits, 0
-        self.first, self.second, self.number = np.zeros(1 << bits, W.U), np.zeros(1 << bits, W.U), np.zeros(1 << bits, np.int32)
+        # a word's hash, first bytes and number lie side by side
+        self.rows = np.zeros((1 << bits, 4), W.U)
+        self.first, self.second, self.number = self.rows[:, 0], self.rows[:, 1], self.rows[:, 2].view(np.int64)
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h >> W.U(64 - self.bits)).astype(np.int64)
@@ -79,9 +112,10 @@ class _Table:
     def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
         slot = self._slots(h)
-        key = self.first[slot]
-        hit = (key == h) & (self.second[slot] == other)
-        out = np.where(hit, self.number[slot], -1)
+        row = self.rows.take(slot, axis=0, mode="clip")
+        key = row[:, 0]
+        hit = (key == h) & (row[:, 1] == other)
+        out = np.where(hit, row[:, 2].view(np.int64), -1)
         todo = np.flatnonzero(~hit & (key != 0))
         slot = slot[todo]
         while len(todo):
@@ -116,13 +150,13 @@ class _Table:
 class _Row:
     """An array that grows at its end; what is behind its end is zero."""
 
-    def __init__(self, kind: type) -> None:
-        self.data, self.n = np.zeros(1 << 12, kind), 0
+    def __init__(self, kind: type, *wide: int) -> None:
+        self.data, self.n = np.zeros((1 << 12, *wide), kind), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) + 8 > len(self.data):
             held = self.data[: self.n]
-            self.data = np.zeros(2 * (self.n + len(more)) + 8, self.data.dtype)
+            self.data = np.zeros((2 * (self.n + len(more)) + 8, *held.shape[1:]), held.dtype)
             self.data[: self.n] = held
         self.data[self.n : self.n + len(more)] = more
         self.n += len(more)
@@ -130,7 +164,7 @@ class _Row:
 
 class Encoder:
     """Ids of texts by a tokenizers file that, as word_bpe_49k.json does, lowers letters, drops white space, parts runs of
-    letters from signs and ends each run's ids with one of a ``</w>`` string."""
+    letters from signs and digits and ends each run's ids with one of a ``</w>`` string."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -139,13 +173,13 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # runs of lower-case letters need no more than the model
+        # runs of lower-case letters, their bytes written as ByteLevel does, need no more than the model
         self.runs.normalizer = None
         bare = self.runs.model
         if hasattr(bare, "_resize_cache"):  # words come once, so the model's own cache only costs
             bare._resize_cache(0)
             self.runs.model = bare
-        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         specials = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = max(specials.items(), key=lambda x: x[1])
         self.specials = [s.encode() for s in specials]
@@ -157,8 +191,10 @@ class Encoder:
     def forget(self) -> None:
         self.known = _Table()
         # of each word's number: where its ids begin and how many they are, and where its bytes begin and how many they are
-        self.ids, self.begin, self.size = _Row(np.uint32), _Row(np.int64), _Row(np.int32)
-        self.text, self.at, self.length = _Row(np.uint8), _Row(np.int64), _Row(np.int32)
+        self.ids, self.text, self.about = _Row(np.uint32), _Row(np.uint8), _Row(np.int64, 4)
+        # number 0 is the mark behind a text, which no bytes stand for
+        self.ids.add(np.zeros(1, np.uint32))
+        self.about.add(np.array([[0, 1, 0, 0]]))
 
     def _learn(self, plain: list[bytes]) -> np.ndarray:
         """Encode words that are new; returns their numbers."""
@@ -169,26 +205,23 @@ class Encoder:
             if kind.any():
                 which = np.flatnonzero(kind).tolist()
                 ids, size = encode([words[i] for i in which])
-                number[kind] = np.arange(self.size.n, self.size.n + len(size))
+                number[kind] = np.arange(self.about.n, self.about.n + len(size))
                 held = [plain[i] for i in which]
                 length = np.fromiter(map(len, held), np.int64, len(held))
-                self.begin.add(self.ids.n + np.cumsum(size) - size)
-                self.at.add(self.text.n + np.cumsum(length) - length)
-                self.size.add(size)
-                self.length.add(length)
+                self.about.add(np.stack([self.ids.n + np.cumsum(size) - size, size, self.text.n + np.cumsum(length) - length, length], axis=1))
                 self.ids.add(ids)
                 self.text.add(np.frombuffer(b"".join(held), np.uint8))
         return number
 
     def _same(self, v: W.Words, eights: np.ndarray, words: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Which of the ``words`` (of up to ``LONG`` bytes) are, byte by byte, those of the numbers, given that their first 8 bytes are."""
-        size = v.end[words] - v.start[words]
-        same = self.length.data[number] == size
+        size, about = v.end[words] - v.start[words], self.about.data.take(number, axis=0, mode="clip")
+        same, at = about[:, 3] == size, about[:, 2]
         held = np.ndarray(len(self.text.data) - 7, "<u8", self.text.data, strides=(1,))
         more, k = np.flatnonzero(same & (size > 8)), 1
         while len(more):
             left = np.minimum(size[more] - 8 * k, 8).astype(W.U)
-            theirs = held[self.at.data[number[more]] + 8 * k] & (~W.U(0) >> ((W.U(8) - left) * W.U(8)))
+            theirs = held[at[more] + 8 * k] & (~W.U(0) >> ((W.U(8) - left) * W.U(8)))
             same[more] = theirs == v.piece(eights, k, words[more])
             k += 1
             more = more[same[more] & (size[more] > 8 * k)]
@@ -197,7 +230,7 @@ class Encoder:
     def encode_runs(self, plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, for words that are one run: spaces part them, and the last id of each is one that ends a run."""
         step = 256
-        batch = [b" ".join(plain[a : a + step]).decode() for a in range(0, len(plain), step)]
+        batch = [codecs.charmap_decode(b" ".join(plain[a : a + step]), "strict", _BYTES)[0] for a in range(0, len(plain), step)]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.runs.encode_batch_fast(batch, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids])
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(plain) else self.encode(plain)
@@ -228,11 +261,8 @@ class Encoder:
         for _, _, data, offs in W.slices(column):
             if self.known.n > KNOWN or self.text.n + 4 * self.ids.n > KNOWN_BYTES:
                 self.forget()
-            point = (data == 0x2E) | (data == 0x2C)
-            point[1:] &= _LETTER[data[:-1]]  # the tokenizer parts letters from these signs
-            point[:1] = False
-            v = W.Words(data, offs, cut=point)
-            v.data = _lowered(data, v)
+            self.ids.data[0] = end
+            v = _words(data, offs)
             eights, raw = v.eights(), None
             h, first = v.hashes() | W.U(1), v.piece(eights, 0)
             word = self.known.find(h, first)
@@ -254,15 +284,15 @@ class Encoder:
                     word[other] = self._learn(bytes_of(other))
             if long.any():
                 word[long] = self._learn(bytes_of(long))
-            size = self.size.data[word].astype(np.int64)
-            per_text = W.per_doc(size, v.first)
-            total = int(size.sum())
-            place = np.arange(total)
-            flat = self.ids.data[place + np.repeat(self.begin.data[word] - np.cumsum(size) + size, size)]
-            out = np.full(total + len(per_text), end, np.uint32)
-            out[place + np.repeat(np.arange(len(per_text)), per_text)] = flat
+            stop = v.first[1:] + np.arange(len(v.count))  # of the marks among the words
+            about = self.about.data.take(np.insert(word, v.first[1:], 0), axis=0, mode="clip")
+            size = about[:, 1]
+            upto = np.cumsum(size)
+            place = np.repeat(about[:, 0] - upto + size, size)
+            place += np.arange(len(place))
+            out, per_text = self.ids.data.take(place, mode="clip"), np.diff(upto[stop], prepend=0)
             flats.append(out)
-            counts.append(per_text + 1)
+            counts.append(per_text)
         return np.concatenate(flats), np.concatenate(counts)
 
 
@@ -283,30 +313,30 @@ def repair(symbols: np.ndarray, terminals: int, barrier: int, rounds: int = 24,
             break
         wide = alphabet > 1 << 16
         key = (s[:-1].astype(W.U) << W.U(32)) | s[1:] if wide else (s[:-1] << np.uint32(16)) | s[1:]
-        stop = s == barrier
-        free = ~(stop[:-1] | stop[1:])
-        k = np.sort(key[free])
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        k = np.sort(key)
+        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         times = np.diff(np.append(cut, len(k)))
         often = np.flatnonzero(times >= least)
-        if len(often) > most:
-            often = often[np.argsort(-times[often], kind="stable")[:most]]
+        pairs = k[cut[often]]
+        half = pairs.dtype.type(pairs.dtype.itemsize * 4)
+        free = (pairs >> half != barrier) & (pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1)) != barrier)
+        often, pairs = often[free], pairs[free]
         if not len(often):
             break
-        order = np.argsort(-times[often], kind="stable")
-        pairs = k[cut[often]][order]  # by rank
-        slot = lambda x: ((x * x.dtype.type(0x9E3779B97F4A7C15 & np.iinfo(x.dtype).max | 1)) >> x.dtype.type(x.dtype.itemsize * 8 - 20)).astype(np.int32)
-        table = np.zeros(1 << 20, np.int32)
-        table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # a pair whose slot a better one has waits
-        maybe = table[slot(key)]
-        place = np.flatnonzero((pairs[maybe] == key) & free)
-        order = maybe[place]
-        none = np.iinfo(np.int32).max
-        before, after = np.full(len(place), none, np.int32), np.full(len(place), none, np.int32)
-        near = place[1:] == place[:-1] + 1
-        before[1:][near], after[:-1][near] = order[:-1][near], order[1:][near]
-        take = (order < before) & (order <= after)
-        place, order = place[take], order[take]
+        rank = np.argsort(-times[often], kind="stable")[:most]
+        pairs = pairs[rank]
+        slot = lambda x: ((x * x.dtype.type(0x9E3779B97F4A7C15 & np.iinfo(x.dtype).max | 1)) >> x.dtype.type(x.dtype.itemsize * 8 - 20)).astype(np.intp)
+        table = np.zeros(1 << 20, np.uint16 if len(pairs) <= 1 << 16 else np.int32)
+        table[slot(pairs)[::-1]] = np.arange(len(pairs), dtype=table.dtype)[::-1]  # a pair whose slot a better one has waits
+        maybe = table.take(slot(key), mode="clip")
+        place = np.flatnonzero(pairs.take(maybe, mode="clip") == key)
+        order = maybe.take(place, mode="clip")
+        near, less = place[1:] == place[:-1] + 1, order[1:] < order[:-1]
+        take = np.ones(len(place), bool)
+        take[1:] &= ~near | less
+        take[:-1] &= ~(near & less)
+        take = np.flatnonzero(take)
+        place, order = place.take(take, mode="clip"), order.take(take, mode="clip")
         if len(place) < gain * len(s):
             break
         taken = np.bincount(order, minlength=len(pairs)) > 0
@@ -392,7 +422,8 @@ class Segment:
         begin = np.cumsum(size) - size
         each = size[self.symbols]
         at = np.repeat(begin[self.symbols] - np.cumsum(each) + each, each)
-        return self.terminals[pool[np.arange(len(at)) + at]]
+        at += np.arange(len(at))
+        return self.terminals[pool].take(at)
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the k-th document, from only the symbols that hold them."""

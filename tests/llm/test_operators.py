@@ -562,6 +562,37 @@ def test_tokenizer_words_equal_whole_texts():
         at += n
 
 
+def test_tokenizer_learns_a_word_once_whatever_signs_touch_it(monkeypatch):
+    from tokenizers import Tokenizer
+
+    e, seen = tokens.Encoder(PATH), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda plain: (seen.extend(plain), learn(plain))[1])
+    forms = ("W W. W, W!! W### (W) [W]: W% W's 7W W7 *W* W;W", "W?\nW/W&&& \"W\"", "W")
+    texts = [x.replace("W", w) for w in ("word", "señaé", "Wörd") for x in forms]
+    flat, sizes = e.column(pa.array(texts), 1)
+    want = [[*x.ids, 1] for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+    assert [w for w in seen if b"word" in w] == [b"word"] and len(seen) == len(set(seen))
+
+
+def test_tokenizer_parts_at_signs_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(6)
+    marks = [chr(c) for c in (0x300, 0x301, 0x307, 0x30C, 0x327, 0x338, 0x85, 0xA0, 0x200D, 0x2028, 0xFEFF, 0x00, 0x1C, 0x7F)]
+    latin = [chr(c) for c in range(0xC0, 0x180)]
+    words_ = ["J̌", "I̊", "Σ", "é", "日", "०", "²", "'S", "'Re", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "KK", "ing", "The"]
+    signs = [*map(chr, range(0x21, 0x7F)), *"'|<> \n" * 3, *marks, *latin[::3], *words_]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(6000)]
+    texts += [f"{a}{b}{c}" for a in (*latin, "J", "x") for b in ("!", "'", "'s", chr(0x30C), "7", "|") for c in ("a", chr(0x338), "#")]
+    flat, sizes = tokens.Encoder(PATH).column(pa.array(texts), 1)
+    at = 0
+    for x, n, e in zip(texts, sizes.tolist(), Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert flat[at : at + n].tolist() == [*e.ids, 1], x
+        at += n
+
+
 def test_warc_audit(spark):
     rows = [(k, f"u{k}", "x" * k if k % 5 else None) for k in range(300)] + [(7, "u7", "twice")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
